@@ -87,7 +87,7 @@ def state_ops_from(ev: DataFrame) -> DataFrame:
     attr = (F.when(kind == "signup", "last_type").when(kind == "click", "clicks")
             .when(kind == "purchase", "spend").when(kind == "view", "seen")
             .when(even, "clicks").otherwise("seen"))
-    op = (F.when(kind == "signup", "set").when(kind.isin("click", "purchase"), "add")
+    op = (F.when(kind == "signup", "set_string").when(kind.isin("click", "purchase"), "add_number")
           .when(kind == "view", "add_to_set").when(even, "delete").otherwise("remove_from_set"))
     value = (F.when(kind == "signup", kind).when(kind == "click", "1")
              .when(kind == "purchase", F.col("value").cast("decimal(18,2)").cast("string"))
