@@ -22,7 +22,12 @@ def bare_type(content_type: Column) -> Column:
 def decode_body(body: Column, content_type: Column) -> Column:
     """Text and JSON as UTF-8, everything else as base64."""
     return (F.when(bare_type(content_type).isin(TEXT_TYPES), F.decode(body, "UTF-8"))
-            .otherwise(F.base64(body)))
+            .otherwise(to_base64(body)))
+
+
+def to_base64(data: Column) -> Column:
+    """One line: the built-in breaks its output every 76 characters."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
 
 
 def parse_object(text: Column) -> Column:
