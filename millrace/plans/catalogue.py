@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import prepare
-from . import q_ingest
+from . import q_ingest, q_lake
 
-MODULES = [q_ingest]
+MODULES = [q_ingest, q_lake]
 
 
 def _prepared(query):
