@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import prepare
-from . import q_ingest, q_lake
+from . import q_ingest, q_lake, q_sql
 
-MODULES = [q_ingest, q_lake]
+MODULES = [q_ingest, q_lake, q_sql]
 
 
 def _prepared(query):

@@ -13,6 +13,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even when that costs one more exchange above it
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # a lake write makes one file per folder however small, so few bytes may still
+    # be much work: keep all cores busy before merging shuffle partitions
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
