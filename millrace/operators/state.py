@@ -138,8 +138,11 @@ def state_list(state: DataFrame, prefix: list[str] | None = None, exact_part: bo
     return state.orderBy("state_key").limit(limit)
 
 
-def state_get(state: DataFrame, key_parts: list[str]) -> DataFrame:
-    return state.where(F.col("state_key") == merge_key(F.array(*[F.lit(p) for p in key_parts])))
+def state_get(state: DataFrame, keys: DataFrame | list[str]) -> DataFrame:
+    """Entries of the given keys: one key as its parts, or a table of ``state_key``."""
+    if isinstance(keys, list):
+        return state.where(F.col("state_key") == merge_key(F.array(*[F.lit(p) for p in keys])))
+    return state.join(keys, "state_key", "left_semi")
 
 
 def state_put(state: DataFrame, entries: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import prepare
-from . import q_ingest, q_lake, q_sql
+from . import q_ingest, q_lake, q_ops, q_sql, q_state
 
-MODULES = [q_ingest, q_lake, q_sql]
+MODULES = [q_ingest, q_lake, q_sql, q_state, q_ops]
 
 
 def _prepared(query):

@@ -37,8 +37,6 @@ def lake_tables(path: str, org: str, schemas: dict[str, str]) -> dict[str, Loade
 
 def org_session(spark: SparkSession, tables: dict[str, Loader]) -> SparkSession:
     """A session in which only the given tables exist, and no files by path."""
-    if not tables:
-        raise LookupError("database not found: the org has no tables")
     session = prepare(spark.newSession())
     session.conf.set("spark.sql.runSQLOnFiles", "false")
     for name, load in tables.items():
@@ -51,7 +49,11 @@ def run_sql(spark: SparkSession, tables: dict[str, Loader], sql: str) -> DataFra
     check_read_only(sql)
     if not _READS.match(sql):
         raise NotReadOnly("only queries are allowed")
-    return org_session(spark, tables).sql(sql)
+    if not tables:
+        raise LookupError("database not found: the org has no tables")
+    # a table the text does not name cannot be read by it: no need to open it
+    named = {n: load for n, load in tables.items() if re.search(rf"(?i)\b{re.escape(n)}\b", sql)}
+    return org_session(spark, named).sql(sql)
 
 
 def database_schema(spark: SparkSession, tables: dict[str, Loader]) -> DataFrame:
