@@ -30,6 +30,39 @@ def to_base64(data: Column) -> Column:
     return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
 
 
+# fixed values: data formats of streams
+FORMATS = ["STRING", "BINARY", "JSON", "AVRO", "PROTOBUF"]
+
+
+def decode(body: Column, fmt: str, schema: str | None = None) -> Column:
+    """A stream body (text) as a typed value: text, bytes from base64, or JSON
+    read with a schema. Avro and Protobuf need Spark's own packages."""
+    if fmt == "STRING":
+        return body
+    if fmt == "BINARY":
+        return F.unbase64(body)
+    if fmt == "JSON":
+        return F.from_json(body, schema)
+    if fmt == "AVRO":
+        from pyspark.sql.avro.functions import from_avro
+        return from_avro(F.unbase64(body), schema)
+    raise ValueError(f"no decoder for {fmt}: add Spark's package for it and use its functions")
+
+
+def encode(value: Column, fmt: str, schema: str | None = None) -> Column:
+    """The reverse of :func:`decode`."""
+    if fmt == "STRING":
+        return value.cast("string")
+    if fmt == "BINARY":
+        return to_base64(value)
+    if fmt == "JSON":
+        return F.to_json(value)
+    if fmt == "AVRO":
+        from pyspark.sql.avro.functions import to_avro
+        return to_base64(to_avro(value, schema) if schema else to_avro(value))
+    raise ValueError(f"no encoder for {fmt}: add Spark's package for it and use its functions")
+
+
 def parse_object(text: Column) -> Column:
     """A JSON object as ``map<string,variant>``; anything else gives null."""
     return F.from_json(text, "map<string,variant>")

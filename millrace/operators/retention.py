@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import LAKE_PARTITIONS, RETENTION_DAYS
+from ..session import delete_path
 from ..sources.lake import lake_partitions
 
 # fixed values: classes kept longer than this are tiered, after these ages
@@ -43,11 +44,8 @@ def expire(spark: SparkSession, path: str, now: Column, dry_run: bool = True) ->
     is issued; no data passes."""
     gone = expired_partitions(lake_partitions(spark, path), now).withColumn("path", partition_path(path))
     if not dry_run:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        conf = spark._jsc.hadoopConfiguration()
         for row in gone.select("path").toLocalIterator():
-            target = hadoop(row.path)
-            target.getFileSystem(conf).delete(target, True)
+            delete_path(spark, row.path)
     return gone
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import prepare
-from . import q_ingest, q_lake, q_ops, q_sql, q_state
+from . import q_ingest, q_lake, q_ops, q_sql, q_state, q_stream
 
-MODULES = [q_ingest, q_lake, q_sql, q_state, q_ops]
+MODULES = [q_ingest, q_lake, q_sql, q_state, q_ops, q_stream]
 
 
 def _prepared(query):

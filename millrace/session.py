@@ -70,3 +70,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor costs a re-read and not a replay of every earlier round."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder; none when it does not exist."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return []
+    return [status.getPath().getName() for status in fs.listStatus(target)]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.lakekey import parse_lake_key
 from ..schemas import LAKE_PARTITIONS, META_ORG, META_RETENTION, META_TOPIC
+from ..session import child_names
 
 # fixed value: result type under which unroutable records are kept
 EXTRACTION_FAILED = "metadata-extraction-failed"
@@ -66,6 +67,23 @@ def topic_glob(path: str, org: str | None = None, topic: str | None = None) -> s
     return f"{path}/retention=*/organization={org or '*'}/topic={topic or '*'}"
 
 
+def _load(spark: SparkSession, path: str, reader, org: str | None, topic: str | None) -> DataFrame:
+    """Load the folders of an org and topic. A lake written by a stream is loaded
+    from its root, where Spark finds the list of committed files."""
+    reader = reader.option("basePath", path)
+    if "_spark_metadata" not in child_names(spark, path):
+        return reader.load(topic_glob(path, org, topic))
+    df = reader.load(path)
+    for name, value in (("organization", org), ("topic", topic)):
+        if value is not None:
+            df = df.where(F.col(name) == value)
+    return df
+
+
+def _with_folders(schema: T.StructType) -> T.StructType:
+    return T.StructType(schema.fields + [T.StructField(c, T.StringType()) for c in LAKE_PARTITIONS])
+
+
 def _hour_text() -> Column:
     return F.concat_ws("-", "year", "month", "day", "hour")
 
@@ -87,18 +105,17 @@ def read_lake(spark: SparkSession, path: str, schema: str | T.StructType, org: s
     malformed line gives a row of nulls, or no row with ``drop_malformed``."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    full = T.StructType(schema.fields + [T.StructField(c, T.StringType()) for c in LAKE_PARTITIONS])
-    df = (spark.read.schema(full).option("basePath", path)
-          .option("mode", "DROPMALFORMED" if drop_malformed else "PERMISSIVE")
-          .json(topic_glob(path, org, topic)))
-    return in_hours(df, since, until)
+    reader = (spark.read.format("json").schema(_with_folders(schema))
+              .option("mode", "DROPMALFORMED" if drop_malformed else "PERMISSIVE"))
+    return in_hours(_load(spark, path, reader, org, topic), since, until)
 
 
 def read_lines(spark: SparkSession, path: str, org: str | None = None,
                topic: str | None = None) -> DataFrame:
     """Lake lines as text with their file and a position that grows along each
     file (gzip files are never split, so one task reads a file in order)."""
-    return (spark.read.option("recursiveFileLookup", "true").text(topic_glob(path, org, topic))
+    reader = spark.read.format("text").schema(_with_folders(T.StructType.fromDDL("value string")))
+    return (_load(spark, path, reader, org, topic)
             .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
                     F.monotonically_increasing_id().alias("pos")))
 
@@ -112,8 +129,7 @@ def _relative(path: str) -> Column:
 def all_files(spark: SparkSession, path: str, org: str | None = None,
               topic: str | None = None) -> DataFrame:
     """Inventory without file contents: key, size, last modified."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-            .load(topic_glob(path, org, topic))
+    return (_load(spark, path, spark.read.format("binaryFile"), org, topic)
             .select(_relative(path).alias("key"), F.col("length").alias("size"),
                     F.col("modificationTime").alias("last_modified")))
 
