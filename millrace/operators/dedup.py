@@ -4,15 +4,16 @@ Rule: in time order a copy is accepted iff it comes at least ``interval`` after
 the last *accepted* copy. That is a chain of decisions, and one id may own a
 third of all rows, so no id is ever gathered in one task:
 
-1. Rows shrink to distinct ``(id, millisecond)`` cells with a map-side combine;
-   bodies do not take part.
-2. Cells are cut into slots of one interval. A slot accepts at most one copy.
-   A slot at least an interval away from its neighbours is decided on its own:
-   its first cell is accepted. Nearly all slots end here.
-3. In linked slots each cell points to the cell that would be accepted after it.
-   The cells on the chain are found by pointer doubling: log2(chain length)
-   equi-joins on unique ``(id, time)`` keys. Windows run over one id and slot
-   pair at most, at most two intervals of milliseconds.
+1. Time is cut into slots of one interval; a slot accepts at most one copy. Ids
+   and slots are summed up with a map-side combine, without bodies. A slot at
+   least an interval after the copies before it accepts its first copy, whatever
+   was accepted earlier. Nearly all slots end here.
+2. In slots closer together, each copy's time points to the time that would be
+   accepted after it. The times on the chain are found by pointer doubling:
+   log2(chain length) equi-joins on unique ``(id, time)`` keys. Windows run over
+   one id and slot pair at most, two intervals of milliseconds.
+3. The messages themselves are shuffled once, after their own map-side combine
+   of copies of one id and millisecond, to meet the accepted times.
 """
 
 from __future__ import annotations
@@ -46,44 +47,33 @@ def dedup(df: DataFrame, interval: str = "5 minutes") -> DataFrame:
     ordered by ``received_at, seq``."""
     width = interval_ms(interval)
     keyed = with_cell(df)
-    cells = (
-        keyed.groupBy(*GROUP, "t").agg(F.min(F.struct("received_at", "seq")).alias("first"))
-        .withColumn("slot", F.floor(F.col("t") / width))
-    )
+    times = keyed.select(*GROUP, "t", F.floor(F.col("t") / width).alias("slot"))
     by_group = W.partitionBy(*GROUP).orderBy("slot")
-    slots = (
-        cells.groupBy(*GROUP, "slot").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    slots = cut_lineage(
+        times.groupBy(*GROUP, "slot").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
         # one row per id and interval of time, whatever the number of copies
         .withColumn("prev_hi", F.lag("hi").over(by_group))
         .withColumn("next_lo", F.lead("lo").over(by_group))
         .withColumn("head", F.col("prev_hi").isNull() | (F.col("lo") - F.col("prev_hi") >= width))
         .withColumn("tail", F.col("next_lo").isNull() | (F.col("next_lo") - F.col("hi") >= width))
     )
-    # a head slot's first cell always follows the last accepted copy by the interval
-    settled = slots.where("head").select(*GROUP, F.col("lo").alias("t"))
+    winners = slots.where("head").select(*GROUP, F.col("lo").alias("t"))
     linked = slots.where(~(F.col("head") & F.col("tail")))
-    chain = _chain(cells, linked, width)
-    winners = settled if chain is None else settled.unionByName(chain)
-    picks = cells.join(winners, [*GROUP, "t"], "left_semi").select(
-        *GROUP, F.col("first.received_at").alias("received_at"), F.col("first.seq").alias("seq"))
-    return (
-        keyed.join(picks, [*GROUP, "received_at", "seq"], "left_semi")
-        .dropDuplicates([*GROUP, "received_at", "seq"])
-        .select(*df.columns)
-    )
+    if not linked.isEmpty():
+        winners = winners.unionByName(_chain(times, linked, width))
+    first = F.min_by(F.struct(*df.columns), F.struct("received_at", "seq"))
+    cells = keyed.groupBy(*GROUP, "t").agg(first.alias("row"))
+    return cells.join(winners, [*GROUP, "t"], "left_semi").select("row.*")
 
 
-def _chain(cells: DataFrame, linked: DataFrame, width: int) -> DataFrame | None:
-    """Accepted cells of linked slots, beyond the heads; null when there are none."""
-    linked = cut_lineage(linked)
-    if linked.isEmpty():
-        return None
+def _chain(times: DataFrame, linked: DataFrame, width: int) -> DataFrame:
+    """Accepted times of linked slots, beyond the heads."""
     points = (
-        cells.join(linked.select(*GROUP, "slot", "next_lo"), [*GROUP, "slot"])
+        times.distinct().join(linked.select(*GROUP, "slot", "next_lo"), [*GROUP, "slot"])
         .select(*GROUP, "slot", "t", "next_lo")
     )
-    # a cell's successor lies in the next slot or, if that has none late enough,
-    # is the first cell of the slot after it
+    # a time's successor lies in the next slot or, if that has none late enough,
+    # is the first time of the slot after it
     probes = points.select(*GROUP, (F.col("slot") + 1).alias("slot"),
                            (F.col("t") + width).alias("at"), F.col("t").alias("probe"),
                            F.col("next_lo"), F.lit(None).cast("long").alias("point"),
@@ -100,7 +90,7 @@ def _chain(cells: DataFrame, linked: DataFrame, width: int) -> DataFrame | None:
         .withColumn("hit", F.min("point").over(ahead))
         .withColumn("after", F.max("own_next").over(whole))
         .where(F.col("probe").isNotNull())
-        # next_lo is the first cell of the next slot in use: take it when it is
+        # next_lo is the first time of the next slot in use: take it when it is
         # late enough, else the slot after that one starts late enough
         .select(*GROUP, F.col("probe").alias("t"), F.coalesce(
             F.col("hit"),
@@ -109,9 +99,8 @@ def _chain(cells: DataFrame, linked: DataFrame, width: int) -> DataFrame | None:
         .where(F.col("nxt").isNotNull())
     )
     jumps = cut_lineage(succ)
-    reached = cut_lineage(linked.where("head").select(*GROUP, F.col("lo").alias("t")))
-    heads = reached
-    count = reached.count()
+    heads = linked.where("head").select(*GROUP, F.col("lo").alias("t"))
+    reached, count = heads, heads.count()
     while True:
         step = reached.join(jumps, [*GROUP, "t"]).select(*GROUP, F.col("nxt").alias("t"))
         reached = cut_lineage(reached.unionByName(step).distinct())
@@ -122,4 +111,4 @@ def _chain(cells: DataFrame, linked: DataFrame, width: int) -> DataFrame | None:
         further = jumps.select(*GROUP, F.col("t").alias("nxt"), F.col("nxt").alias("far"))
         jumps = cut_lineage(
             jumps.join(further, [*GROUP, "nxt"]).select(*GROUP, "t", F.col("far").alias("nxt")))
-    return reached.join(heads, [*GROUP, "t"], "left_anti")
+    return cut_lineage(reached.join(heads, [*GROUP, "t"], "left_anti"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import payload as P
+from ..functions.columns import once
 from ..schemas import BINARY_TYPES, JSON_TYPE, MAX_BODY_BYTES, TEXT_TYPES
 from .config import resolve_topics
 from .dedup import dedup
@@ -28,8 +29,8 @@ REASONS = {
 
 
 def validate(msgs: DataFrame, topics: DataFrame) -> DataFrame:
-    """Resolve topics and add ``reject_code`` and ``reject_reason``; the first
-    failing check decides, and both are null on accepted messages."""
+    """Resolve topics and add ``reject``, ``reject_code`` and ``reject_reason``; the
+    first failing check decides, and all are null on accepted messages."""
     resolved = resolve_topics(msgs, topics)
     kind = P.bare_type(F.col("content_type"))
     needs_json = F.col("cfg.has_batch") | F.col("cfg.store").isNotNull()
@@ -40,18 +41,17 @@ def validate(msgs: DataFrame, topics: DataFrame) -> DataFrame:
         .when(F.octet_length("body") > MAX_BODY_BYTES, "too_large")
         .when(~kind.isin(TEXT_TYPES + BINARY_TYPES), "unknown_type")
     )
-    return _with_reason(resolved.withColumn("check", check)).drop("check")
+    return _with_reason(resolved.withColumn("reject", check))
 
 
 def _with_reason(df: DataFrame) -> DataFrame:
-    def pick(i, type_):
-        table = F.create_map(*[F.lit(x) for k, v in REASONS.items() for x in (k, v[i])])
-        return F.when(F.col("check").isNotNull(), table[F.col("check")]).cast(type_)
-    return df.withColumn("reject_code", pick(0, "int")).withColumn("reject_reason", pick(1, "string"))
+    def pick(i):
+        return F.create_map(*[F.lit(x) for k, v in REASONS.items() for x in (k, v[i])])[F.col("reject")]
+    return df.withColumn("reject_code", pick(0)).withColumn("reject_reason", pick(1))
 
 
 def accepted(validated: DataFrame) -> DataFrame:
-    return validated.where(F.col("reject_code").isNull())
+    return validated.where(F.col("reject").isNull())
 
 
 def fan_out(valid: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def enrich(valid: DataFrame) -> DataFrame:
     not a JSON object."""
     wanted = valid.where(F.col("cfg.has_batch") | F.col("cfg.store").isNotNull())
     fields = P.parse_object(P.decode_body(F.col("body"), F.col("content_type")))
-    return wanted.withColumn("fields", P.enriched_fields(
+    return once(wanted, "fields", P.enriched_fields(
         fields, ts=F.col("received_at"), key=F.col("message_key"),
         message_id=F.col("message_id"),
         retention=F.when(F.col("cfg.has_batch"), F.col("cfg.retention")),
@@ -117,8 +117,8 @@ def rejects(validated: DataFrame, enriched: DataFrame) -> DataFrame:
     (those still reach their streams)."""
     cols = ["seq", "org", "topic", "message_key", "received_at", "reject_code", "reject_reason"]
     unusable = _with_reason(
-        enriched.where(F.col("fields").isNull()).withColumn("check", F.lit("not_object")))
-    return (validated.where(F.col("reject_code").isNotNull()).select(*cols)
+        enriched.where(F.col("fields").isNull()).withColumn("reject", F.lit("not_object")))
+    return (validated.where(F.col("reject").isNotNull()).select(*cols)
             .unionByName(unusable.select(*cols)))
 
 

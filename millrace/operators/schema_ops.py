@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.columns import once
+
 FIELD = "struct<name:string,type:string,required:boolean>"
 
 # fixed values: the limits of sampled inference
@@ -24,7 +26,7 @@ def infer_schema(lines: DataFrame, max_lines: int | None = None) -> DataFrame:
     """Union of top-level field names, all text, in first-seen order; from
     ``line, file, pos``. Blank and unparsable lines are skipped. Reads every
     line unless ``max_lines`` asks for sampled inference."""
-    parsed = lines.withColumn("names", F.json_object_keys("line")).where("names is not null")
+    parsed = once(lines, "names", F.json_object_keys("line")).where("names is not null")
     if max_lines is not None:
         parsed = parsed.limit(max_lines)
     return (
@@ -43,7 +45,7 @@ def require_fields(schema: DataFrame) -> DataFrame:
 
 def infer_schema_typed(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One merged schema with real types (per group), e.g. ``OBJECT<a: BIGINT>``."""
-    return (lines.withColumn("v", F.try_parse_json("line"))
+    return (once(lines, "v", F.try_parse_json("line"))
             .where(F.schema_of_variant("v").startswith("OBJECT"))
             .groupBy(*(by or [])).agg(F.schema_of_variant_agg("v").alias("schema")))
 
@@ -124,9 +126,10 @@ def check_schema(lines: DataFrame, schema: list[tuple[str, str, bool]],
         is_object, F.concat(F.array(*[problem(*f) for f in schema]), unknown)
     ).otherwise(F.array(F.struct(F.lit("").alias("field"), F.lit("malformed").alias("reason"))))
     by = by or []
+    parsed = once(lines, "v", F.try_parse_json("line"))
     return (
-        lines.withColumn("v", F.try_parse_json("line"))
-        .select(*by, F.explode(found).alias("p")).where("p.reason is not null")
+        once(parsed, "found", F.filter(found, lambda p: p["reason"].isNotNull()))
+        .select(*by, F.explode("found").alias("p"))
         .groupBy(*by, F.col("p.field").alias("field"), F.col("p.reason").alias("reason"))
         .agg(F.count("*").alias("n"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import payload as P
+from ..functions.columns import once
 from ..functions.keys import merge_key, split_key
 from ..operators import ingest as I
 from ..operators.config import resolve_topics
@@ -54,14 +55,13 @@ SELECT seq, ms, length(text) AS len, md5(text) AS md5 FROM decoded""")
 
 
 def enrich(spark, sf):
-    line = F.to_json("fields")
-    df = enriched(spark, sf).where("fields is not null").withColumn("line", line)
-    text = lambda name: F.get_json_object("line", f"$.{name}")
-    return df.select(
-        "seq", epoch_ms("received_at"), text("event_id").cast("long").alias("event_id"),
-        text("event_type").alias("event_type"), text("value").cast("double").alias("value"),
-        text("props.k").cast("int").alias("k"), text("_ds_message_ts").cast("long").alias("m_ts"),
-        *[text(f).alias(a) for f, a in zip(META_FIELDS[1:], ["m_key", "m_id", "m_retention", "m_org", "m_topic"])],
+    df = once(enriched(spark, sf).where("fields is not null"), "line", F.to_json("fields"))
+    read = F.from_json("line", "event_id long, event_type string, value double, props struct<k:int>, "
+                               "_ds_message_ts long, " + ", ".join(f"{f} string" for f in META_FIELDS[1:]))
+    return once(df, "r", read).select(
+        "seq", epoch_ms("received_at"), "r.event_id", "r.event_type", "r.value", "r.props.k",
+        F.col("r._ds_message_ts").alias("m_ts"),
+        *[F.col(f"r.{f}").alias(a) for f, a in zip(META_FIELDS[1:], ["m_key", "m_id", "m_retention", "m_org", "m_topic"])],
         F.size(F.json_object_keys("line")).alias("fields"), F.instr("line", "\n").alias("newline"))
 
 

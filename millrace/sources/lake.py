@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.columns import once
 from ..functions.lakekey import parse_lake_key
 from ..schemas import LAKE_PARTITIONS, META_ORG, META_RETENTION, META_TOPIC
 from ..session import child_names
@@ -23,7 +24,7 @@ def with_partitions(df: DataFrame) -> DataFrame:
     and from the arrival time."""
     meta = F.from_json(
         "line", f"{META_RETENTION} string, {META_ORG} string, {META_TOPIC} string")
-    return df.withColumn("m", meta).select(
+    return once(df, "m", meta).select(
         "line", "received_at",
         F.col(f"m.{META_RETENTION}").alias("retention"),
         F.col(f"m.{META_ORG}").alias("organization"),

@@ -27,6 +27,13 @@ class DedupSink:
         self.keep = max(interval_ms(keep), self.width)
 
     def __call__(self, df: DataFrame, batch_id: int) -> None:
+        df = df.persist()   # read more than once; its size is that of one micro-batch
+        try:
+            self._take(df, batch_id)
+        finally:
+            df.unpersist()
+
+    def _take(self, df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         known = self._known(spark, batch_id)
         fresh = df
