@@ -9,7 +9,7 @@ from ..functions import payload as P
 from ..operators import ingest as I
 from ..operators import ops
 from ..schemas import STATE_OPS
-from ..session import scratch_path
+from ..session import scratch_path, state_partitions
 from ..sources import derived
 from ..sources.kv import read_kv
 from ..sources.lake import read_lake
@@ -41,9 +41,22 @@ def message_stream(spark, sf):
     return read_messages(spark, path, maxFilesPerTrigger=1)
 
 
-def _run(df, path, checkpoint, mode="append"):
-    (df.writeStream.format("parquet").outputMode(mode).option("path", path)
-     .option("checkpointLocation", checkpoint).trigger(**AVAILABLE).start().awaitTermination())
+def _run(df, path, checkpoint):
+    """Run an append stream to its end, into files."""
+    with state_partitions(df.sparkSession):
+        query = (df.writeStream.format("parquet").option("path", path)
+                 .option("checkpointLocation", checkpoint).trigger(**AVAILABLE).start())
+    query.awaitTermination()
+
+
+def _run_updates(df, path, checkpoint):
+    """Run an update stream to its end; the changed rows of each micro-batch."""
+    with state_partitions(df.sparkSession):
+        query = (df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+                 .foreachBatch(lambda rows, b: rows.write.mode("overwrite").parquet(f"{path}/batch={b}"))
+                 .trigger(**AVAILABLE).start())
+    query.awaitTermination()
+    return df.sparkSession.read.option("basePath", path).parquet(f"{path}/batch=*")
 
 
 def stream_source(spark, sf):
@@ -95,14 +108,11 @@ SELECT org, stream, message_key, seq, t AS ms FROM deduped""", recursive=True)
 
 
 def _state_checkpoint(spark, sf):
-    """Run the operation log through the stateful stream; its checkpoint."""
+    """Run the operation log through the stateful stream; its checkpoint and changes."""
     path, out, cp = (scratch_path(spark, n) for n in ("ops", "state", "cp"))
     _timed_files(derived.state_ops(spark, sf), "at", path)
     ops_in = read_messages(spark, path, schema=STATE_OPS, maxFilesPerTrigger=1)
-    (state_stream(ops_in).writeStream.outputMode("update").option("checkpointLocation", cp)
-     .foreachBatch(lambda df, b: df.write.mode("overwrite").parquet(f"{out}/batch={b}"))
-     .trigger(**AVAILABLE).start().awaitTermination())
-    return cp, out
+    return cp, _run_updates(state_stream(ops_in), out, cp)
 
 
 def state_read(spark, sf):
@@ -125,8 +135,7 @@ ORACLES["state_read"] = with_ctes(FOLDS, _LIVE)
 
 def state_stream_changes(spark, sf):
     """Entries changed per micro-batch."""
-    out = _state_checkpoint(spark, sf)[1]
-    changes = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    changes = _state_checkpoint(spark, sf)[1]
     return changes.groupBy("state_key").agg(F.count("*").alias("changes"), F.unix_seconds(F.max("at")).alias("last"))
 
 
@@ -210,10 +219,7 @@ def last_value_stream(spark, sf):
     stream = read_messages(spark, path, schema=logins.schema, maxFilesPerTrigger=1)
     latest = SP.last_value(stream.withColumn("value", F.from_json("body", "value double").value),
                            "message_key", "value", ["received_at", "seq"])
-    (latest.writeStream.outputMode("update").option("checkpointLocation", cp)
-     .foreachBatch(lambda df, b: df.write.mode("overwrite").parquet(f"{out}/batch={b}"))
-     .trigger(**AVAILABLE).start().awaitTermination())
-    changes = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    changes = _run_updates(latest, out, cp)
     return changes.groupBy("message_key").agg(F.max_by(F.struct("value", "as_of"), "as_of").alias("x")).select(
         "message_key", "x.value", F.col("x.as_of.seq").alias("seq"))
 
@@ -305,10 +311,7 @@ def throughput_stream(spark, sf):
     windows stay open, so the check reads the update output."""
     out, cp = scratch_path(spark, "throughput"), scratch_path(spark, "cp")
     counts = ops.throughput(I.validate(message_stream(spark, sf), derived.topics(spark)), "1 hour", "7 days")
-    (counts.writeStream.outputMode("update").option("checkpointLocation", cp)
-     .foreachBatch(lambda df, b: df.write.mode("overwrite").parquet(f"{out}/batch={b}"))
-     .trigger(**AVAILABLE).start().awaitTermination())
-    changes = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    changes = _run_updates(counts, out, cp)
     return changes.groupBy("org", "topic", F.unix_seconds("start").alias("start")).agg(
         F.max("messages").alias("messages"), F.max("bytes").alias("bytes"), F.max("rejects").alias("rejects"))
 

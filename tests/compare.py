@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import decimal
 import math
+import os
 import sys
 import time
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -65,7 +67,11 @@ def difference(got, want):
 def main(sf_dir, names):
     import __spark_entry__ as entry
     from millrace.session import build_session
-    spark, con = build_session("compare"), connect(sf_dir)
+    if os.environ.get("PLAIN_SESSION"):   # a session without any of our settings
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    else:
+        spark = build_session("compare")
+    con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for name in names or queries:
