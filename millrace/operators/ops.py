@@ -29,26 +29,26 @@ def usage(msgs: DataFrame, plans: DataFrame) -> DataFrame:
     """Requests per org and UTC day against the org's daily quota (``org,
     quota``; null is unlimited), with the time of the first request over it.
 
-    The request is found by counting minutes first: only the one minute in which
-    a day crosses its quota is read again row by row.
+    The request is found by counting seconds first: only the one second in which a
+    day crosses its quota is read again row by row.
     """
-    minutes = msgs.groupBy("org", F.date_trunc("minute", "received_at").alias("minute")).agg(
+    seconds = msgs.groupBy("org", F.date_trunc("second", "received_at").alias("second")).agg(
         F.count("*").alias("n"))
-    by_day = W.partitionBy("org", "day").orderBy("minute").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = (minutes.withColumn("day", F.to_date("minute")).join(plans, "org", "left")
+    by_day = W.partitionBy("org", "day").orderBy("second").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = (seconds.withColumn("day", F.to_date("second")).join(plans, "org", "left")
                .withColumn("upto", F.sum("n").over(by_day)))
     over_quota = F.col("quota").isNotNull() & (F.col("upto") > F.col("quota"))
+    nth = F.col("quota") - F.col("upto") + F.col("n") + 1
     days = counted.groupBy("org", "day").agg(
         F.sum("n").alias("requests"), F.first("quota").alias("quota"),
-        F.min(F.when(over_quota, F.struct("minute", (F.col("quota") - F.col("upto") + F.col("n") + 1).alias("nth"))))
-        .alias("cross"))
-    cross = days.where("cross is not null").select("org", F.col("cross.minute").alias("minute"), F.col("cross.nth").alias("nth"))
-    in_minute = W.partitionBy("org", "minute").orderBy("received_at", "seq")
+        F.min(F.when(over_quota, F.struct("second", nth.alias("nth")))).alias("cross"))
+    cross = days.where("cross is not null").select("org", "cross.second", "cross.nth")
+    in_second = W.partitionBy("org", "second").orderBy("received_at", "seq")
     first_over = (
-        msgs.select("org", "received_at", "seq", F.date_trunc("minute", "received_at").alias("minute"))
-        .join(cross, ["org", "minute"])
-        .withColumn("rn", F.row_number().over(in_minute)).where("rn = nth")
-        .select("org", F.to_date("minute").alias("day"), F.col("received_at").alias("first_over")))
+        msgs.select("org", "received_at", "seq", F.date_trunc("second", "received_at").alias("second"))
+        .join(cross, ["org", "second"])
+        .withColumn("rn", F.row_number().over(in_second)).where("rn = nth")
+        .select("org", F.to_date("second").alias("day"), F.col("received_at").alias("first_over")))
     return (days.drop("cross").join(first_over, ["org", "day"], "left")
             .withColumn("exceeded", F.col("first_over").isNotNull()))
 

@@ -56,7 +56,7 @@ def _run_updates(df, path, checkpoint):
                  .foreachBatch(lambda rows, b: rows.write.mode("overwrite").parquet(f"{path}/batch={b}"))
                  .trigger(**AVAILABLE).start())
     query.awaitTermination()
-    return df.sparkSession.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return df.sparkSession.read.parquet(path)
 
 
 def stream_source(spark, sf):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
@@ -23,6 +25,11 @@ RUNTIME_CONF = {
 }
 
 
+# Functions that run in Python workers travel by value, so that executors need no
+# copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options the library relies on; safe to call repeatedly."""
     for key, value in RUNTIME_CONF.items():

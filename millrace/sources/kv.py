@@ -28,7 +28,7 @@ def upsert_kv(items: DataFrame, path: str, batch_id: int | str = 0) -> None:
 
 def read_kv(spark: SparkSession, path: str) -> DataFrame:
     """The table as of all stored batches."""
-    return fold_kv(spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch"))
+    return fold_kv(spark.read.parquet(path).drop("batch"))
 
 
 def compact_kv(spark: SparkSession, path: str, target: str) -> None:

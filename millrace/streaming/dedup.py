@@ -80,5 +80,4 @@ def read_accepted_batch(spark: SparkSession, out: str) -> DataFrame:
 
 def read_accepted(spark: SparkSession, path: str) -> DataFrame:
     """All accepted rows of all micro-batches."""
-    return (spark.read.schema(_ROW + ", batch long").option("basePath", f"{path}/accepted")
-            .parquet(f"{path}/accepted").drop("batch"))
+    return (spark.read.schema(_ROW + ", batch long").parquet(f"{path}/accepted").drop("batch"))

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import ingest as I
@@ -115,7 +116,9 @@ def stream_rows(spark, rows):
         "received_at timestamp")
 
 
-def test_dedup_matches_replay(spark):
+@pytest.mark.parametrize("folded", [0, 40, 1000])
+def test_dedup_matches_replay(spark, folded):
+    """By doubling only, by both ways and by folding only."""
     import random
     rng = random.Random(7)
     rows, seq = [], 0
@@ -126,7 +129,7 @@ def test_dedup_matches_replay(spark):
     for t in range(0, 60_000, 130):   # one hot id with an unbroken chain
         seq += 1
         rows.append(("hot", t, seq))
-    got = dedup(stream_rows(spark, rows), "1 second")
+    got = dedup(stream_rows(spark, rows), "1 second", folded)
     assert sorted(r.seq for r in got.select("seq").collect()) == brute_dedup(rows, 1000)
 
 
