@@ -12,7 +12,7 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFr
     """Keys that own at least ``share`` of the rows. There are at most
     ``1 / share`` of them whatever the data, so the list may be broadcast."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    total = df.groupBy().agg(F.count("*").alias("n"))
+    total = counts.groupBy().agg(F.sum("n"))   # over the same exchange as the counts
     return counts.where(F.col("n") >= F.ceil(total.scalar() * share)).select(*keys)
 
 

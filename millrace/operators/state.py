@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import merge_key
-from .skew import salted_join
+from .skew import hot_keys, salted_join
 
 KEY = ["state_key", "attr"]
 NUMBER = "decimal(38,10)"
@@ -42,8 +42,9 @@ def read_bool(value: Column) -> Column:
     return F.coalesce(value == "true", F.lit(False))
 
 
-def fold_counter(ops: DataFrame) -> DataFrame:
-    """Value of the last ``set_number`` (0 after a delete) plus the later adds."""
+def fold_counter(ops: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Value of the last ``set_number`` (0 after a delete) plus the later adds.
+    ``hot`` may bring a list of hot attributes, see ``skew.hot_keys``."""
     log = keyed(ops).where(F.col("op").isin("set_number", "add_number", "delete")).select(
         *KEY, "seq", "op", F.col("value").cast(NUMBER).alias("x"))
     resets = (log.where("op <> 'add_number'").groupBy(*KEY)
@@ -53,14 +54,14 @@ def fold_counter(ops: DataFrame) -> DataFrame:
         *KEY, F.when(F.col("last.op") == "set_number", F.col("last.x"))
         .otherwise(F.lit(0).cast(NUMBER)).alias("x"))
     adds = salted_join(log.where("op = 'add_number'").select(*KEY, "seq", "x"),
-                       resets.select(*KEY, F.col("last.seq").alias("since")), KEY)
+                       resets.select(*KEY, F.col("last.seq").alias("since")), KEY, hot=hot)
     later = adds.select(*KEY, F.when(F.col("since").isNull() | (F.col("seq") > F.col("since")), F.col("x"))
                         .otherwise(F.lit(0).cast(NUMBER)).alias("x"))
     return (later.unionByName(base).groupBy(*KEY)
             .agg(F.sum("x").cast(NUMBER).alias("value")))
 
 
-def fold_set(ops: DataFrame) -> DataFrame:
+def fold_set(ops: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Members after replacements, unions, subtractions and deletes; sorted."""
     log = keyed(ops).where(
         F.col("op").isin("set_set", "add_to_set", "remove_from_set", "delete")
@@ -74,7 +75,7 @@ def fold_set(ops: DataFrame) -> DataFrame:
         .groupBy(*KEY, "member")
         .agg(F.max("seq").alias("seq"), F.max_by("op", "seq").alias("op"))
     )
-    kept = salted_join(last, resets.select(*KEY, "since"), KEY).select(
+    kept = salted_join(last, resets.select(*KEY, "since"), KEY, hot=hot).select(
         *KEY, F.when((F.col("op") != "remove_from_set")
                      & (F.col("since").isNull() | (F.col("seq") >= F.col("since"))),
                      F.col("member")).alias("member"))
@@ -109,9 +110,10 @@ def fold_state(ops: DataFrame, ttl_sec: int | None = None) -> DataFrame:
     are JSON text; attributes that are absent have no entry."""
     register = fold_register(ops).where("value is not null").select(
         *KEY, F.to_json(F.col("value").cast("variant")).alias("value"))
-    counter = fold_counter(ops).select(
+    hot = hot_keys(keyed(ops), KEY)
+    counter = fold_counter(ops, hot).select(
         *KEY, F.to_json(F.col("value").cast("variant")).alias("value"))
-    sets = fold_set(ops).where("size(value) > 0").select(*KEY, F.to_json("value").alias("value"))
+    sets = fold_set(ops, hot).where("size(value) > 0").select(*KEY, F.to_json("value").alias("value"))
     attrs = (register.unionByName(counter).unionByName(sets).groupBy("state_key")
              .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("attr", "value")))).alias("attrs")))
     expiry = keyed(ops).groupBy("state_key").agg(

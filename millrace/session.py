@@ -45,6 +45,8 @@ def build_session(app: str = "millrace", cpus: str = "*", shuffle_partitions: in
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        # checkpoint files go when nothing refers to them any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

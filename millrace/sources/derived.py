@@ -61,8 +61,15 @@ def messages_from(ev: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of fewer splits than cores over all of them; a table with
+    enough splits is left alone and costs no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages_from(events(spark, sf_dir))
+    return messages_from(spread(events(spark, sf_dir)))
 
 
 def topics(spark: SparkSession) -> DataFrame:

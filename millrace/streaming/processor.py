@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.columns import once
 from ..functions.keys import merge_key
 from ..plans.sql import Loader, run_sql
 from .state import KeyedProcessor, StateEntry
@@ -70,10 +71,10 @@ def last_value(df: DataFrame, key: str, value: str, order: list[str]) -> DataFra
 def with_failures(df: DataFrame, decoded: Column, required: tuple[str, ...] = ("message_key", "message_id")) -> DataFrame:
     """Add ``value`` and ``failure``: a record without key or id, or whose decoding
     gives null, fails alone and the others go on."""
-    failure = F.when(decoded.isNull(), "undecodable")
+    failure = F.when(F.col("value").isNull(), "undecodable")
     for name in reversed(required):
         failure = F.when(F.coalesce(F.col(name), F.lit("")) == "", f"no {name}").otherwise(failure)
-    return df.withColumn("value", decoded).withColumn("failure", failure)
+    return once(df, "value", decoded).withColumn("failure", failure)
 
 
 def handle_each(df: DataFrame, handler: Callable[[dict], dict], output: str) -> DataFrame:
