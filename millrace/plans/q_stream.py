@@ -37,7 +37,8 @@ def _timed_files(df, ts, path):
 
 def message_stream(spark, sf):
     path = scratch_path(spark, "messages")
-    _timed_files(derived.messages(spark, sf), "received_at", path)
+    # not spread over the cores first: that would cut each part into many micro-batches
+    _timed_files(derived.messages_from(derived.events(spark, sf)), "received_at", path)
     return read_messages(spark, path, maxFilesPerTrigger=1)
 
 

@@ -97,6 +97,20 @@ def state_partitions(spark: SparkSession, n: int | None = None) -> Iterator[None
         spark.conf.set(name, before)
 
 
+@contextmanager
+def adaptive(spark: SparkSession) -> Iterator[None]:
+    """Batch work inside ``foreachBatch``: a stream's session switches adaptive
+    execution off, and with it the merging of small shuffle partitions and the
+    splitting of skewed ones. Switch it on for the block."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def child_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a folder; none when it does not exist."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

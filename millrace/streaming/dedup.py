@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.dedup import GROUP, dedup, interval_ms, with_cell
 from ..operators.skew import salted_join
-from ..session import child_names, delete_path
+from ..session import adaptive, child_names, delete_path
 
 
 class DedupSink:
@@ -29,7 +29,8 @@ class DedupSink:
     def __call__(self, df: DataFrame, batch_id: int) -> None:
         df = df.persist()   # read more than once; its size is that of one micro-batch
         try:
-            self._take(df, batch_id)
+            with adaptive(df.sparkSession):
+                self._take(df, batch_id)
         finally:
             df.unpersist()
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest as I
 from ..schemas import LAKE_PARTITIONS
+from ..session import adaptive
 from ..sources.kv import upsert_kv
 from ..sources.lake import MAX_RECORDS_PER_FILE, routable, with_partitions
 from .dedup import DedupSink
@@ -48,7 +49,12 @@ def start_rejects(msgs: DataFrame, topics: DataFrame, path: str, checkpoint: str
 def start_store(msgs: DataFrame, topics: DataFrame, path: str, checkpoint: str,
                 trigger: dict) -> StreamingQuery:
     items = I.store_items(I.enrich(I.accepted(I.validate(msgs, topics))))
-    return (items.writeStream.foreachBatch(lambda df, batch: upsert_kv(df, path, batch))
+
+    def upsert(df: DataFrame, batch: int) -> None:
+        with adaptive(df.sparkSession):
+            upsert_kv(df, path, batch)
+
+    return (items.writeStream.foreachBatch(upsert)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
