@@ -211,19 +211,21 @@ def _classes(docs: DataFrame, doc_id: str, text: str, width: int, num: int, den:
     frequent = context.broadcast(order(texts, "text", width, hot))
     posted = texts.mapInArrow(_postings(width, num, den, frequent), "shingle long, node long, at long")
     n, place = F.shiftright("at", 32), F.col("at").bitwiseAND(0xFFFFFFFF)
-    # one row per shingle: how many documents at most, and the pivot
-    first = F.struct((place / n).alias("share"), n.alias("n"), F.col("node").alias("node"), place.alias("place"))
-    shared = posted.groupBy("shingle").agg(
-        F.min(first).alias("pivot"), F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    met = settle(posted.join(shared.select("shingle", "pivot"), "shingle").select(
-        "shingle", "node", n.alias("n"), place.alias("place"), "pivot").distinct(), "met")
+    # one pair of longs per shingle: the rank of its pivot, and whether there are two
+    # documents; equal nodes have equal ranks
+    rank = F.shiftleft((place * 32768 / n).cast("long"), 48) + F.col("node").bitwiseAND((1 << 48) - 1)
+    shared = posted.groupBy("shingle").agg(F.min(rank).alias("least"), F.max(rank).alias("most")).where("least <> most")
+    met = settle(posted.join(shared.select("shingle", "least"), "shingle").select(
+        "shingle", "node", n.alias("n"), place.alias("place"), (rank == F.col("least")).alias("first"))
+        .distinct(), "met")
+    pivot = met.where("first").select("shingle", F.struct("node", "n", "place").alias("pivot"))
 
     wanted = context.broadcast(bit_filter(met, "node", BITS))
     sets = texts.mapInArrow(_sets(width, wanted), "node long, ranges binary, whole binary")
     sets = settle(sets.groupBy("node").agg(F.first("ranges").alias("ranges"), F.first("whole").alias("whole")), "sets")
 
     by_pivot = settle(
-        met.where(F.col("pivot.node") != F.col("node"))
+        met.join(pivot, "shingle").where(F.col("pivot.node") != F.col("node"))
         .where(_can_reach(num, den, F.col("n"), F.col("place"), F.col("pivot.n"), F.col("pivot.place")))
         .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct(),
         "pairs")
@@ -231,7 +233,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, width: int, num: int, den:
     group = settle(components(links, "a", "b"), "groups")
 
     # pairs that could still join two components
-    placed = met.drop("pivot").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = met.drop("first").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     placed = settle(placed.join(open_.select("shingle"), "shingle"), "open")
     step = math.log(den / num) if num < den else 1e-9

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard
-from .common import table
+from . import chat, embeddings, extract, jaccard, packing, quality, sentencepieces, sharding, toxicity, urls
+from .common import settle, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,13 +40,196 @@ FROM s
 """
 
 
+def vocabulary(name: str) -> str:
+    """A file of the public tokenizers."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity and grade of every document; ``toxic`` are those above grade 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "expected_severity", "grade", "toxic")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "parity", "round_trip")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), limit=0.9)
+
+
+# Every page is a capture, fetched at a time that follows from its number. The lists
+# follow from the pages' hosts and paths: entries dated through the same year, some of
+# which take the key off the list again.
+def _captures(pages: DataFrame) -> DataFrame:
+    seconds = F.col("page_id") * 37 % 366 * 86400 + F.col("page_id") * 7919 % 86400
+    return pages.select("page_id", "url", F.timestamp_seconds(F.lit(1704067200) + seconds).alias("fetched_at"))
+
+
+def _entries(pages: DataFrame) -> DataFrame:
+    """Three dated entries of each host and of each host and first path segment: listed,
+    taken off, listed under another category."""
+    found = pages.select(F.filter(urls.keys(F.col("url")), lambda k: F.length(F.regexp_replace(k, "[^/]", "")) <= 1)
+                         .alias("keys")).select(F.explode("keys").alias("key")).distinct()
+    spread = F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long")
+    first = F.lit(1704067200) + spread % 300 * 86400
+    return found.where(spread % 3 == 0).withColumn("e", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("category"), F.timestamp_seconds(first + d * 86400).alias("at"), F.lit(x).alias("listed"))
+        for c, d, x in (("spam", 0, True), ("spam", 40, False), ("adult", 20, True))]))).select("key", "e.*")
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's capture judged by the list of its fetch time."""
+    pages = table(spark, sf_dir, "pages")
+    judged = urls.judge(_captures(pages), _entries(pages), "page_id", "url", "fetched_at")
+    return judged.select(F.col("capture_id").alias("page_id"), F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss")
+                         .alias("fetched_at"), F.array_join("categories", ",").alias("categories"), "blocked")
+
+
+URLS_SQL = r"""
+WITH cap AS (
+  SELECT page_id, url, 1704067200 + page_id * 37 % 366 * 86400 + page_id * 7919 % 86400 AS t,
+         lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+         list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'),
+                     lambda s: s <> '') AS seg
+  FROM pages),
+keyed AS (
+  SELECT DISTINCT page_id, t, array_to_string(string_split(host, '.')[i:], '.') AS key
+  FROM cap, unnest(generate_series(1, greatest(len(string_split(host, '.')) - 1, 1))) x(i) WHERE host <> ''
+  UNION
+  SELECT page_id, t, host || '/' || array_to_string(seg[1:i], '/')
+  FROM cap, unnest(generate_series(1, least(len(seg), 4))) x(i) WHERE host <> ''),
+listed AS (
+  SELECT key, 1704067200 + ('0x' || substr(md5(key), 1, 6))::BIGINT % 300 * 86400 AS first
+  FROM (SELECT DISTINCT key FROM keyed WHERE length(regexp_replace(key, '[^/]', '', 'g')) <= 1)
+  WHERE ('0x' || substr(md5(key), 1, 6))::BIGINT % 3 = 0),
+valid AS (
+  SELECT key, 'spam' AS category, first AS lo, first + 40 * 86400 AS hi FROM listed
+  UNION ALL SELECT key, 'adult', first + 20 * 86400, 9000000000000 FROM listed),
+hit AS (
+  SELECT page_id, string_agg(DISTINCT category, ',' ORDER BY category) AS categories
+  FROM keyed JOIN valid USING (key) WHERE lo <= t AND t < hi GROUP BY page_id)
+SELECT page_id, strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H:%M:%S') AS fetched_at,
+       coalesce(categories, '') AS categories, categories IS NOT NULL AS blocked
+FROM cap LEFT JOIN hit USING (page_id)
+"""
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    measured = settle(quality.measures(docs).drop("text"), "measured")
+    judged = quality.judge(measured, quality.cutoffs(measured, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
+def _quality_sql() -> str:
+    rules, tests = [], []
+    for rule in quality.RULES:
+        for step, c in enumerate(rule.cutoffs):
+            tests.append(f"SELECT lang, '{rule.name}' AS rule, {step} AS step, count(*) AS n, "
+                         f"count(*) FILTER ({rule.scale} * {rule.left} > {c} * {rule.right}) AS k FROM good GROUP BY lang")
+        cutoff = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(rule.cutoffs))
+        rules.append(f"coalesce((SELECT {rule.scale} * {rule.left} > (CASE step {cutoff} END) * {rule.right} FROM best b "
+                     f"WHERE b.rule = '{rule.name}' AND b.lang IS NOT DISTINCT FROM m.lang), false)")
+    alpha = quality.ALPHA / len(quality.RULES)
+    return rf"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS_SQL.format("text")} AS w FROM documents),
+win AS (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 4)) AS i, w FROM (SELECT DISTINCT doc_id, w FROM w) WHERE len(w) >= 5),
+hashed AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS h FROM win),
+twice AS (SELECT doc_id, i FROM hashed QUALIFY count(*) OVER (PARTITION BY doc_id, h) > 1),
+covered AS (
+  SELECT doc_id, sum(least(5, coalesce(lead_i - i, 5))) AS n FROM (
+    SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS lead_i FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM w)
+  LEFT JOIN covered USING (doc_id)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+good AS (
+  SELECT * FROM judged WHERE NOT base_failed
+  AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
+tests AS ({" UNION ALL ".join(tests)}),
+passed AS (
+  SELECT lang, rule, step FROM tests
+  WHERE k < {alpha!r} * n AND (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r})))
+    FROM unnest(generate_series(0, k)) x(i)) <= {quality.DELTA!r} / (SELECT count(*) FROM tests)),
+best AS (SELECT lang, rule, max(step) AS step FROM passed GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR {" OR ".join(rules)}) AS kept
+FROM judged m
+"""
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+# Tools that the calls below are checked against.
+TOOLS = {"search": {"query": ("string", True), "limit": ("integer", False)},
+         "lookup": {"term": ("string", True), "exact": ("boolean", False)}}
+
+
+def _tool_messages(turns: DataFrame) -> DataFrame:
+    """Conversations with assistant turns as tool calls and, in even conversations, user
+    turns as results of the call before. Some arguments break their schema."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    name = (lambda t: F.concat(F.lit("c"), conv.cast("string"), F.lit("_"), t.cast("string")))
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), r"^[A-Za-z]*", 0)
+    is_call = F.col("role") == "assistant"
+    is_result = (F.col("role") == "user") & (turn > 0) & (conv % 2 == 0)
+    search = F.concat(F.lit('{"query": "'), word, F.lit('", "limit": '),
+                      F.when(conv % 7 == 0, F.lit('"many"')).otherwise((turn % 10).cast("string")), F.lit("}"))
+    lookup = F.concat(F.lit('{"exact": '), (conv % 3 == 0).cast("string"),
+                      F.when(conv % 11 == 0, F.lit("")).otherwise(F.concat(F.lit(', "term": "'), word, F.lit('"'))),
+                      F.lit("}"))
+    return turns.select(
+        "conv_id", "turn", F.when(is_result, F.lit("tool")).otherwise(F.col("role")).alias("role"), "text",
+        F.when(is_call, name(turn)).when(is_result, name(turn - 1)).alias("id"),
+        F.when(is_call, F.when(turn % 4 == 1, F.lit("search")).otherwise(F.lit("lookup"))).alias("name"),
+        F.when(is_call, F.when(turn % 4 == 1, search).otherwise(lookup)).alias("arguments"),
+        F.when(is_call & (turn > 2) & (conv % 3 == 0), name(turn - 2)).alias("after"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _tool_messages(table(spark, sf_dir, "conversations"))
+    return chat.format_chat(messages, TOOLS).withColumn("problems", F.array_join("problems", ","))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards whose row counts differ by one at most."""
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = sharding.shard(docs, 8, ["doc_id", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = (op1_best_fit_packing, op2_toxicity, op3_sentencepiece, op4_ngram_jaccard_join, op5_embedding_near_dedup,
+           op6_url_filters, op7_quality_rules, op8_html_extraction, op9_chat_formatting, op10_sharding)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": JACCARD_SQL}
+    return {"op4_ngram_jaccard_join": JACCARD_SQL, "op6_url_filters": URLS_SQL, "op7_quality_rules": _quality_sql()}
