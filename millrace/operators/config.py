@@ -23,9 +23,8 @@ def resolve_topics(msgs: DataFrame, topics: DataFrame) -> DataFrame:
     """
     explicit = topics.where(F.col("topic").isNotNull()).select(
         "org", "topic", _cfg().alias("own"))
-    has_any = F.col("has_batch") | (F.size("streams") > 0) | F.col("store").isNotNull()
     defaults = topics.where(F.col("topic").isNull()).select(
-        "org", "allow_undefined", F.when(has_any, _cfg()).alias("fallback"))
+        "org", "allow_undefined", _cfg().alias("fallback"))   # as given, destinations all off too
     global_default = F.struct(
         F.lit(True).alias("has_batch"), F.lit(DEFAULT_RETENTION).alias("retention"),
         F.array().cast("array<string>").alias("streams"), F.lit(None).cast(STORE).alias("store"))

@@ -8,12 +8,10 @@ third of all rows, so no id is ever gathered in one task:
    and slots are summed up with a map-side combine, without bodies. A slot at
    least an interval after the copies before it accepts its first copy, whatever
    was accepted earlier. Nearly all slots end here.
-2. In slots closer together the chain has to be followed. An id with few such
-   times, by a checked count, is folded as one sorted array. For any other id each
-   time points to the time that would be accepted after it, and the chain is found
-   by pointer doubling: log2(chain length) equi-joins on unique ``(id, time)``
-   keys. Windows run over one id and slot pair at most, two intervals of
-   milliseconds.
+2. In slots closer together the chain has to be followed. Each time points to the
+   time that would be accepted after it, and the chain is found by pointer doubling:
+   log2(chain length) equi-joins on unique ``(id, time)`` keys. Windows run over one
+   id and slot pair at most, two intervals of milliseconds.
 3. The messages themselves are shuffled once, after their own map-side combine
    of copies of one id and millisecond, to meet the accepted times.
 """
@@ -23,13 +21,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
-from .skew import salted_join
 
 GROUP = ["org", "stream", "message_key", "dedup_id"]
 
-# an id with up to this many times in close slots is folded in one row
-FOLDED_TIMES = 1000
-
 
 def interval_ms(interval: str) -> int:
     amount, unit = interval.split()
@@ -47,7 +41,7 @@ def with_cell(df: DataFrame) -> DataFrame:
     return df.withColumn("dedup_id", dedup_id()).withColumn("t", F.unix_millis("received_at"))
 
 
-def dedup(df: DataFrame, interval: str = "5 minutes", folded_times: int = FOLDED_TIMES) -> DataFrame:
+def dedup(df: DataFrame, interval: str = "5 minutes") -> DataFrame:
     """Keep the accepted copies. Rows need ``org, stream, message_key,
     message_id, body, received_at, seq``; copies of the same millisecond are
     ordered by ``received_at, seq``."""
@@ -66,34 +60,17 @@ def dedup(df: DataFrame, interval: str = "5 minutes", folded_times: int = FOLDED
     winners = slots.where("head").select(*GROUP, F.col("lo").alias("t"))
     linked = slots.where(~(F.col("head") & F.col("tail")))
     if not linked.isEmpty():
-        winners = winners.unionByName(_close_winners(times, linked, width, folded_times))
+        winners = winners.unionByName(_close_winners(times, linked, width))
     first = F.min_by(F.struct(*df.columns), F.struct("received_at", "seq"))
     cells = keyed.groupBy(*GROUP, "t").agg(first.alias("row"))
     return cells.join(winners, [*GROUP, "t"], "left_semi").select("row.*")
 
 
-def _close_winners(times: DataFrame, linked: DataFrame, width: int, folded_times: int) -> DataFrame:
+def _close_winners(times: DataFrame, linked: DataFrame, width: int) -> DataFrame:
     """Accepted times in linked slots."""
-    points = cut_lineage(
-        times.distinct().join(linked.select(*GROUP, "slot", "next_lo"), [*GROUP, "slot"])
-        .select(*GROUP, "slot", "t", "next_lo"))
-    large = cut_lineage(points.groupBy(*GROUP).agg(F.count("*").alias("n"))
-                        .where(F.col("n") > folded_times).drop("n"))
-    if large.isEmpty():
-        return _fold(points, width)
-    small = salted_join(points, large, GROUP, "left_anti")
-    many = salted_join(points, large, GROUP, "left_semi")
-    heads = linked.where("head").join(large, GROUP, "left_semi").select(*GROUP, F.col("lo").alias("t"))
-    return _fold(small, width).unionByName(_chain(many, heads, width))
-
-
-def _fold(points: DataFrame, width: int) -> DataFrame:
-    """Follow the chain of each id along its sorted times."""
-    def take(kept, t):
-        last = F.try_element_at(kept, F.lit(-1))
-        return F.when(last.isNull() | (t - last >= width), F.concat(kept, F.array(t))).otherwise(kept)
-    kept = F.aggregate(F.sort_array(F.collect_list("t")), F.array().cast("array<bigint>"), take)
-    return points.groupBy(*GROUP).agg(kept.alias("kept")).select(*GROUP, F.explode("kept").alias("t"))
+    points = (times.distinct().join(linked.select(*GROUP, "slot", "next_lo"), [*GROUP, "slot"])
+              .select(*GROUP, "slot", "t", "next_lo"))
+    return _chain(points, linked.where("head").select(*GROUP, F.col("lo").alias("t")), width)
 
 
 def _chain(points: DataFrame, heads: DataFrame, width: int) -> DataFrame:

@@ -67,7 +67,10 @@ def undelivered(df: DataFrame, now: Column, days: int = 14) -> DataFrame:
 def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, left_id: str,
               right_id: str, prefix: str = "r_", chunk_ms: int = 3_600_000) -> DataFrame:
     """Each left row with the latest right row of its key at or before it; of
-    several at one time the one with the highest id. Unmatched rows keep nulls."""
+    several at one time the one with the highest id. Unmatched rows keep nulls; a
+    row with a null key or time matches nothing."""
+    timed = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    alone, left, right = left.where(~timed), left.where(timed), right.where(timed)
     rights = right.select(
         F.col(key), F.col(ts), F.lit(0).alias("_side"), F.col(right_id).alias("_id"),
         F.struct(*[F.col(c) for c in right.columns]).alias("_right"),
@@ -78,8 +81,10 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, left_id: str
         F.struct(*[F.col(c) for c in left.columns]).alias("_left"))
     run = running(rights.unionByName(lefts), [key], ts, ["_side", "_id"],
                   lasts={"_hit": F.col("_right")}, chunk_ms=chunk_ms)
-    return run.where("_side = 1").select(
+    matched = run.where("_side = 1").select(
         "_left.*", *[F.col(f"_hit.{c}").alias(f"{prefix}{c}") for c in right.columns if c != key])
+    return matched.unionByName(alone.select("*", *[
+        F.lit(None).cast(f.dataType).alias(f"{prefix}{f.name}") for f in right.schema if f.name != key]))
 
 
 def preceding_totals(left: DataFrame, right: DataFrame, key: str, ts: str, left_id: str,

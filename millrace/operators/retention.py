@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import LAKE_PARTITIONS, RETENTION_DAYS
-from ..session import delete_path
-from ..sources.lake import lake_partitions
+from ..session import child_names, delete_path
+from ..sources.lake import error_partitions, error_path, lake_partitions
 
 # fixed values: classes kept longer than this are tiered, after these ages
 TIERED_ABOVE_DAYS = 120
@@ -38,13 +38,24 @@ def partition_path(path: str) -> Column:
     return F.concat(F.lit(path), *[x for c in LAKE_PARTITIONS for x in (F.lit(f"/{c}="), F.col(c))])
 
 
+def expired_errors(spark: SparkSession, path: str, now: Column) -> DataFrame:
+    """Hour folders of the error records whose age, that of class DAY, has passed."""
+    parts = error_partitions(spark, path).withColumn("retention", F.lit("DAY"))
+    folder = F.concat(F.lit(error_path(path)), *[
+        x for c in ("result", "year", "month", "day", "hour") for x in (F.lit(f"/{c}="), F.col(c))])
+    return expired_partitions(parts, now).withColumn("path", folder)
+
+
 def expire(spark: SparkSession, path: str, now: Column, dry_run: bool = True) -> DataFrame:
-    """The expired folders; with ``dry_run=False`` they are deleted too. Folder
-    names are streamed through the driver, which is where a file system delete
-    is issued; no data passes."""
+    """The expired folders; with ``dry_run=False`` they are deleted too, and with them
+    the expired error records. Folder names are streamed through the driver, which is
+    where a file system delete is issued; no data passes. A lake that a stream writes
+    through the file sink cannot be expired: its commit log would still name the files."""
     gone = expired_partitions(lake_partitions(spark, path), now).withColumn("path", partition_path(path))
     if not dry_run:
-        for row in gone.select("path").toLocalIterator():
+        if "_spark_metadata" in child_names(spark, path):
+            raise ValueError("this lake is written by a file sink, whose log names its files")
+        for row in gone.select("path").unionByName(expired_errors(spark, path, now).select("path")).toLocalIterator():
             delete_path(spark, row.path)
     return gone
 

@@ -8,27 +8,11 @@ from ..functions.columns import once
 
 FIELD = "struct<name:string,type:string,required:boolean>"
 
-# fixed values: the limits of sampled inference
-SAMPLE_FILES = 10
-SAMPLE_LISTED = 100
-SAMPLE_LINES = 10000
 
-
-def sample_paths(files: DataFrame, root: str, max_files: int = SAMPLE_FILES,
-                 listed: int = SAMPLE_LISTED) -> list[str]:
-    """Paths of the first non-empty files among the first listed ones; an
-    inventory as of ``sources.lake.all_files``."""
-    page = files.orderBy("key").limit(listed).where("size > 0").orderBy("key").limit(max_files)
-    return [f"{root}/{r.key}" for r in page.collect()]
-
-
-def infer_schema(lines: DataFrame, max_lines: int | None = None) -> DataFrame:
+def infer_schema(lines: DataFrame) -> DataFrame:
     """Union of top-level field names, all text, in first-seen order; from
-    ``line, file, pos``. Blank and unparsable lines are skipped. Reads every
-    line unless ``max_lines`` asks for sampled inference."""
+    ``line, file, pos``. Blank and unparsable lines are skipped."""
     parsed = once(lines, "names", F.json_object_keys("line")).where("names is not null")
-    if max_lines is not None:
-        parsed = parsed.limit(max_lines)
     return (
         parsed.select("file", "pos", F.posexplode("names").alias("at", "name"))
         .groupBy("name").agg(F.min(F.struct("file", "pos", "at")).alias("first"))

@@ -25,12 +25,15 @@ def keyed(ops: DataFrame) -> DataFrame:
 
 def fold_register(ops: DataFrame) -> DataFrame:
     """Last write per attribute; deleted attributes read as null."""
+    return _registers(ops).select(*KEY, F.when(F.col("op") != "delete", F.col("value")).alias("value"))
+
+
+def _registers(ops: DataFrame) -> DataFrame:
     return (
         keyed(ops).where(F.col("op").isin(*REGISTER_OPS, "delete"))
         .groupBy(*KEY).agg(F.max_by(F.struct("op", "value"), "seq").alias("last"),
                            F.bool_or(F.col("op") != "delete").alias("known"))
-        .where("known")
-        .select(*KEY, F.when(F.col("last.op") != "delete", F.col("last.value")).alias("value"))
+        .where("known").select(*KEY, "last.op", "last.value")
     )
 
 
@@ -45,6 +48,11 @@ def read_bool(value: Column) -> Column:
 def fold_counter(ops: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Value of the last ``set_number`` (0 after a delete) plus the later adds.
     ``hot`` may bring a list of hot attributes, see ``skew.hot_keys``."""
+    return _counters(ops, hot).drop("present")
+
+
+def _counters(ops: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Counters with ``present``: false where nothing follows the last delete."""
     log = keyed(ops).where(F.col("op").isin("set_number", "add_number", "delete")).select(
         *KEY, "seq", "op", F.col("value").cast(NUMBER).alias("x"))
     resets = (log.where("op <> 'add_number'").groupBy(*KEY)
@@ -52,13 +60,14 @@ def fold_counter(ops: DataFrame, hot: DataFrame | None = None) -> DataFrame:
                    F.bool_or(F.col("op") == "set_number").alias("known")))
     base = resets.where("known").select(
         *KEY, F.when(F.col("last.op") == "set_number", F.col("last.x"))
-        .otherwise(F.lit(0).cast(NUMBER)).alias("x"))
+        .otherwise(F.lit(0).cast(NUMBER)).alias("x"), (F.col("last.op") == "set_number").alias("present"))
     adds = salted_join(log.where("op = 'add_number'").select(*KEY, "seq", "x"),
                        resets.select(*KEY, F.col("last.seq").alias("since")), KEY, hot=hot)
-    later = adds.select(*KEY, F.when(F.col("since").isNull() | (F.col("seq") > F.col("since")), F.col("x"))
-                        .otherwise(F.lit(0).cast(NUMBER)).alias("x"))
+    counts = F.col("since").isNull() | (F.col("seq") > F.col("since"))
+    later = adds.select(*KEY, F.when(counts, F.col("x")).otherwise(F.lit(0).cast(NUMBER)).alias("x"),
+                        counts.alias("present"))
     return (later.unionByName(base).groupBy(*KEY)
-            .agg(F.sum("x").cast(NUMBER).alias("value")))
+            .agg(F.sum("x").cast(NUMBER).alias("value"), F.bool_or("present").alias("present")))
 
 
 def fold_set(ops: DataFrame, hot: DataFrame | None = None) -> DataFrame:
@@ -107,11 +116,13 @@ def fold_ttl(ops: DataFrame, ttl_sec: int) -> DataFrame:
 
 def fold_state(ops: DataFrame, ttl_sec: int | None = None) -> DataFrame:
     """All state as one row per key: ``state_key, key_parts, attrs, ttl``. Values
-    are JSON text; attributes that are absent have no entry."""
-    register = fold_register(ops).where("value is not null").select(
-        *KEY, F.to_json(F.col("value").cast("variant")).alias("value"))
+    are JSON text of their own type; attributes that are absent have no entry."""
+    register = _registers(ops).where("op <> 'delete' and value is not null").select(*KEY, F.to_json(
+        F.when(F.col("op") == "set_bool", (F.col("value") == "true").cast("variant"))
+        .when(F.col("op") == "set_json", F.coalesce(F.try_parse_json("value"), F.col("value").cast("variant")))
+        .otherwise(F.col("value").cast("variant"))).alias("value"))
     hot = hot_keys(keyed(ops), KEY)
-    counter = fold_counter(ops, hot).select(
+    counter = _counters(ops, hot).where("present").select(
         *KEY, F.to_json(F.col("value").cast("variant")).alias("value"))
     sets = fold_set(ops, hot).where("size(value) > 0").select(*KEY, F.to_json("value").alias("value"))
     attrs = (register.unionByName(counter).unionByName(sets).groupBy("state_key")

@@ -67,9 +67,13 @@ SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*)
   CAST(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE event_type = 'purchase') AS DOUBLE) AS spent
 FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'error') >= 10""")
 
+# estimates next to the exact figures, within 5 % of them
 SPARK["q_agg_approx"] = """
-SELECT event_type, approx_count_distinct(user_id) AS users, percentile_approx(value, 0.5) AS median,
-  percentile_approx(value, 0.99) AS p99 FROM events GROUP BY event_type"""
+SELECT event_type, abs(approx_count_distinct(user_id, 0.01) - count(DISTINCT user_id)) <= 0.05 * count(DISTINCT user_id) AS users,
+  abs(percentile_approx(value, 0.5) - percentile(value, 0.5)) <= 0.05 * percentile(value, 0.5) AS median,
+  abs(percentile_approx(value, 0.99) - percentile(value, 0.99)) <= 0.05 * percentile(value, 0.99) AS p99
+FROM events GROUP BY event_type"""
+CHECK["q_agg_approx"] = "SELECT event_type, true AS users, true AS median, true AS p99 FROM events GROUP BY event_type"
 
 # distinct types per user: five values at most
 both("q_agg_collect", """

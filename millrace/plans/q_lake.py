@@ -76,11 +76,17 @@ GROUP BY ALL""")
 
 
 def lake_files(spark, sf):
-    return L.lake_files(spark, lake_for(spark, sf), "org0", "click", limit=200).select(
-        "key", "size", (F.col("last_modified").isNotNull()).alias("dated"))
+    """The folders of a topic's first page of files; file names differ from run to run."""
+    return L.lake_files(spark, lake_for(spark, sf), "org0", "click", limit=1000).select(
+        F.regexp_replace("key", "/[^/]*$", "").alias("folder"), (F.col("size") > 0).alias("filled"),
+        (F.col("last_modified").isNotNull()).alias("dated")).distinct()
 
 
 QUERIES["lake_files"] = lake_files
+ORACLES["lake_files"] = with_ctes(VALIDATED, """
+SELECT DISTINCT concat('retention=', retention, '/organization=', org, '/topic=', topic,
+  strftime(received_at, '/year=%Y/month=%m/day=%d/hour=%H')) AS folder, true AS filled, true AS dated
+FROM lake WHERE org = 'org0' AND topic = 'click' ORDER BY folder LIMIT 1000""")
 
 
 def lake_key_parse(spark, sf):
@@ -139,10 +145,16 @@ SELECT DISTINCT name, 'string' AS type FROM (
 def schema_infer_typed(spark, sf):
     lines = L.read_lines(spark, lake_for(spark, sf))
     topic = F.get_json_object("line", "$._ds_topic").alias("topic")
-    return S.infer_schema_typed(lines.withColumn("topic", topic), ["topic"])
+    typed = S.infer_schema_typed(lines.withColumn("topic", topic), ["topic"])
+    # how many digits a decimal needs depends on the values
+    return typed.select("topic", F.regexp_replace("schema", r"DECIMAL\([0-9,]+\)", "DECIMAL").alias("schema"))
 
 
 QUERIES["schema_infer_typed"] = schema_infer_typed
+ORACLES["schema_infer_typed"] = with_ctes(VALIDATED, """
+SELECT DISTINCT topic, 'OBJECT<_ds_message_id: STRING, _ds_message_key: STRING, _ds_message_ts: BIGINT, _ds_organization: STRING, '
+  || '_ds_retention: STRING, _ds_topic: STRING, event_id: BIGINT, event_type: STRING, props: OBJECT<k: BIGINT>, '
+  || 'user_id: BIGINT, value: DECIMAL>' AS schema FROM lake""")
 
 
 def _registry(spark, sf):

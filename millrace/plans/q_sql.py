@@ -67,9 +67,10 @@ FROM events p JOIN events c ON c.user_id = p.user_id AND c.event_type = 'click'
 
 
 def q_join_asof(spark, sf):
-    """The latest click at or before each purchase of the same user."""
-    clicks = _side(spark, sf, "click").select("user_id", "ts", "event_id", F.lit(True).alias("is_click"))
-    return asof_join(_side(spark, sf, "purchase"), clicks, "user_id", "ts", "event_id", "event_id").select(
+    """The latest click at or before each purchase of the same user; some have no user."""
+    known = F.when(F.col("event_id") % 40 != 0, F.col("user_id")).alias("user_id")
+    clicks = _side(spark, sf, "click").select(known, "ts", "event_id", F.lit(True).alias("is_click"))
+    return asof_join(_side(spark, sf, "purchase").withColumn("user_id", known), clicks, "user_id", "ts", "event_id", "event_id").select(
         "event_id", "user_id", F.col("r_event_id").alias("click_id"),
         F.unix_micros("r_ts").alias("click_us"))
 
@@ -77,8 +78,10 @@ def q_join_asof(spark, sf):
 QUERIES["q_join_asof"] = q_join_asof
 ORACLES["q_join_asof"] = """
 SELECT p.event_id, p.user_id, c.event_id AS click_id, epoch_us(c.ts) AS click_us
-FROM (SELECT * FROM events WHERE event_type = 'purchase') p
-ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts"""
+FROM (SELECT event_id, ts, CASE WHEN event_id % 40 <> 0 THEN user_id END AS user_id FROM events
+  WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT event_id, ts, CASE WHEN event_id % 40 <> 0 THEN user_id END AS user_id FROM events
+  WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts"""
 
 
 def sql_gate(spark, sf):

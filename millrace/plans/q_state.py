@@ -128,14 +128,17 @@ def state_pivot(spark, sf):
                        F.array_join(F.from_json("seen", "array<string>"), ",").alias("seen"), "ttl")
 
 
+# an attribute whose last operation deleted it has no entry
+LIVE = """c WHERE (state_key, attr) NOT IN
+  (SELECT (state_key, attr) FROM (SELECT state_key, attr, arg_max(op, seq) AS op FROM ops GROUP BY ALL) d WHERE op = 'delete')"""
 PIVOT = """
 SELECT state_key, max(CASE WHEN attr = 'last_type' THEN value END) AS last_type,
   max(CASE WHEN attr = 'clicks' THEN CAST(value AS DOUBLE) END) AS clicks,
   max(CASE WHEN attr = 'spend' THEN CAST(value AS DOUBLE) END) AS spend,
   max(CASE WHEN attr = 'seen' AND value <> '' THEN value END) AS seen, {ttl} AS ttl
-FROM (SELECT state_key, attr, value FROM registers UNION ALL SELECT state_key, attr, CAST(value AS VARCHAR) FROM counters
+FROM (SELECT state_key, attr, value FROM registers UNION ALL SELECT state_key, attr, CAST(value AS VARCHAR) FROM counters {live}
   UNION ALL SELECT state_key, attr, value FROM sets) s
-JOIN (SELECT state_key, max(sec) AS sec FROM ops GROUP BY ALL) t USING (state_key) {where} GROUP BY state_key, sec"""
+JOIN (SELECT state_key, max(sec) AS sec FROM ops GROUP BY ALL) t USING (state_key) {where} GROUP BY state_key, sec""".replace("{live}", LIVE)
 QUERIES["state_pivot"] = state_pivot
 ORACLES["state_pivot"] = with_ctes(FOLDS, PIVOT.format(ttl=f"sec + {TTL}", where=""))
 
@@ -152,7 +155,7 @@ QUERIES["state_get"] = state_get
 WHOLE = f"""
 SELECT t.state_key, coalesce(string_agg(attr, ',' ORDER BY attr), '') AS attrs, sec + {TTL} AS ttl
 FROM (SELECT state_key, max(sec) AS sec FROM ops GROUP BY ALL) t
-LEFT JOIN (SELECT state_key, attr FROM registers UNION ALL SELECT state_key, attr FROM counters
+LEFT JOIN (SELECT state_key, attr FROM registers UNION ALL SELECT state_key, attr FROM counters {LIVE}
   UNION ALL SELECT state_key, attr FROM sets WHERE n > 0) a ON a.state_key = t.state_key GROUP BY t.state_key, sec"""
 ORACLES["state_get"] = with_ctes(FOLDS, f"""
 SELECT w.* FROM ({WHOLE}) w JOIN customer ON w.state_key = concat('task:t:key:', CAST(c_custkey AS VARCHAR))""")
@@ -162,7 +165,7 @@ def _put_entries(spark, sf):
     """One whole entry per user who ever had an error."""
     errors = derived.events(spark, sf).where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n"))
     parts = F.array(F.lit("task"), F.lit("t"), F.lit("key"), F.col("user_id").cast("string"))
-    return errors.where("n >= 13").select(
+    return errors.select(
         merge_key(parts).alias("state_key"), parts.alias("key_parts"),
         F.create_map(F.lit("errors"), F.col("n").cast("string")).alias("attrs"), F.lit(None).cast("long").alias("ttl"))
 
@@ -174,7 +177,7 @@ def _summary(state):
 
 _ERRORS = f""",
 put AS (SELECT concat('task:t:key:', CAST(user_id AS VARCHAR)) AS state_key, count(*) AS n FROM events
-  WHERE event_type = 'error' GROUP BY ALL HAVING count(*) >= 13),
+  WHERE event_type = 'error' GROUP BY ALL),
 whole AS ({WHOLE})"""
 
 

@@ -98,7 +98,7 @@ UNION ALL SELECT 'rejects', org, topic, count(*) FROM (SELECT org, topic FROM va
 def stream_dedup(spark, sf):
     out, cp = scratch_path(spark, "dedup"), scratch_path(spark, "cp")
     fanned = I.fan_out(I.accepted(I.validate(message_stream(spark, sf), derived.topics(spark))))
-    (fanned.writeStream.foreachBatch(DedupSink(out, keep="24 hours")).option("checkpointLocation", cp)
+    (fanned.writeStream.foreachBatch(DedupSink(out)).option("checkpointLocation", cp)
      .trigger(**AVAILABLE).start().awaitTermination())
     return read_accepted(spark, out).select("org", "stream", "message_key", "seq", epoch_ms("received_at"))
 
@@ -128,10 +128,8 @@ def state_read(spark, sf):
 
 
 # a counter that was deleted and not added to again is absent in the live state
-_LIVE = PIVOT.format(ttl="sec", where="").replace("FROM counters", """FROM counters c WHERE (state_key, attr) NOT IN
-  (SELECT (state_key, attr) FROM (SELECT state_key, attr, arg_max(op, seq) AS op FROM ops GROUP BY ALL) d WHERE op = 'delete')""")
 QUERIES["state_read"] = state_read
-ORACLES["state_read"] = with_ctes(FOLDS, _LIVE)
+ORACLES["state_read"] = with_ctes(FOLDS, PIVOT.format(ttl="sec", where=""))
 
 
 def state_stream_changes(spark, sf):

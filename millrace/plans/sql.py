@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.format import as_text
-from ..functions.sqlgate import NotReadOnly, check_read_only
+from ..functions.sqlgate import NotReadOnly, check_plan, check_read_only
 from ..schemas import small_df
 from ..session import prepare
 from ..sources.lake import read_lake
@@ -45,12 +45,14 @@ def org_session(spark: SparkSession, tables: dict[str, Loader]) -> SparkSession:
 
 
 def run_sql(spark: SparkSession, tables: dict[str, Loader], sql: str) -> DataFrame:
-    """Check the text and hand it to Spark in the org's own session."""
+    """Check the text, by its words and as parsed, and hand it to Spark in the org's own
+    session. Only the org's tables can be named; nothing outside SQL can be called."""
     check_read_only(sql)
     if not _READS.match(sql):
         raise NotReadOnly("only queries are allowed")
     if not tables:
         raise LookupError("database not found: the org has no tables")
+    check_plan(spark, sql, tables)
     # a table the text does not name cannot be read by it: no need to open it
     named = {n: load for n, load in tables.items() if re.search(rf"(?i)\b{re.escape(n)}\b", sql)}
     return org_session(spark, named).sql(sql)

@@ -21,8 +21,9 @@ def fold_kv(items: DataFrame) -> DataFrame:
             .select(*KEY, *[F.col(f"item.{c}").alias(c) for c in rest]))
 
 
-def upsert_kv(items: DataFrame, path: str, batch_id: int | str = 0) -> None:
-    """Fold one batch of items and store it; idempotent per ``batch_id``."""
+def upsert_kv(items: DataFrame, path: str, batch_id: int | str) -> None:
+    """Fold one batch of items and store it; idempotent per ``batch_id``, which no
+    other batch may have."""
     fold_kv(items).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
@@ -32,8 +33,24 @@ def read_kv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_kv(spark: SparkSession, path: str, target: str) -> None:
-    """Rewrite the table as a single batch in a new folder."""
-    upsert_kv(read_kv(spark, path), target, "0")
+    """Rewrite the table as a single batch in a new folder. Its name is no number, so
+    the batches of a stream that goes on there do not replace it."""
+    upsert_kv(read_kv(spark, path), target, "base")
+
+
+def get_item(table: DataFrame, org: str, pk: str, sk: str) -> DataFrame:
+    """The item of a primary key, at most one row."""
+    return table.where((F.col("org") == org) & (F.col("pk") == pk) & (F.col("sk") == sk))
+
+
+def query_index(table: DataFrame, org: str, index: str, pk: str, sk_prefix: str = "") -> DataFrame:
+    """Items by a secondary index such as ``gsi1``: its partition key, and the start of
+    its sort key; in sort key order."""
+    name, number = index[:-1], index[-1]
+    keys = F.col("index_keys")
+    sk = keys[f"{name}sk{number}"]
+    return table.where((F.col("org") == org) & (keys[f"{name}pk{number}"] == pk)
+                       & F.coalesce(sk, F.lit("")).startswith(sk_prefix)).orderBy(sk, "pk", "sk")
 
 
 def drop_keys(items: DataFrame, keys: DataFrame) -> DataFrame:

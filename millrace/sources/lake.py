@@ -155,3 +155,15 @@ def lake_partitions(spark: SparkSession, path: str) -> DataFrame:
             .groupBy(*[F.col(f"k.{c}").alias(c) for c in LAKE_PARTITIONS])
             .agg(F.count("*").alias("files"), F.sum("size").alias("bytes"),
                  F.max("last_modified").alias("last_modified")))
+
+
+def error_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """Hour folders of the error records, with file count and size; none without any."""
+    names = ["result", "year", "month", "day", "hour"]
+    ddl = ", ".join(f"{c} string" for c in names) + ", files long, bytes long"
+    if not child_names(spark, error_path(path)):
+        return spark.createDataFrame([], ddl)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(error_path(path))
+    part = lambda c: F.regexp_extract("path", rf"/{c}=([^/]+)/", 1).alias(c)
+    return files.groupBy(*[part(c) for c in names]).agg(
+        F.count("*").alias("files"), F.sum("length").alias("bytes"))

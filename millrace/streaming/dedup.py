@@ -1,10 +1,14 @@
 """The interval dedup rule over micro-batches.
 
-Each micro-batch first loses the copies that come too soon after the last one
-accepted earlier; what remains starts fresh chains and goes through the batch
-operator, so a hot id is spread out here too. The last accepted times are a
-table below the output folder, one version per micro-batch. Running a batch
-again reads the version before it and replaces its own output.
+Each micro-batch first loses the copies less than one interval from a copy accepted
+earlier, before or after it in time; what remains starts fresh chains and goes through
+the batch operator, so a hot id is spread out here too. The accepted times of an id are
+a table below the output folder, one version per micro-batch. Running a batch again
+reads the version before it and replaces its own output.
+
+A delivered copy cannot be recalled. Where copies arrive in order of time the result is
+that of the batch operator; out of order, no two accepted copies are less than an
+interval apart, and every refused copy is less than an interval from an accepted one.
 """
 
 from __future__ import annotations
@@ -18,13 +22,15 @@ from ..session import adaptive, child_names, delete_path
 
 class DedupSink:
     """Use with ``writeStream.foreachBatch``. Accepted rows are found below
-    ``path/accepted``. An id is remembered until ``keep`` after its last accepted
-    copy; a copy that arrives later than that is delivered, never lost."""
+    ``path/accepted``. An id's accepted times are remembered for ``keep`` before its own
+    latest one, and the id for ``batches`` micro-batches after the last that accepted a
+    copy; other ids and their clocks play no part. Later copies are delivered."""
 
-    def __init__(self, path: str, interval: str = "5 minutes", keep: str = "1 hours"):
+    def __init__(self, path: str, interval: str = "5 minutes", keep: str = "24 hours", batches: int = 10_000):
         self.path, self.interval = path, interval
         self.width = interval_ms(interval)
         self.keep = max(interval_ms(keep), self.width)
+        self.batches = batches
 
     def __call__(self, df: DataFrame, batch_id: int) -> None:
         df = df.persist()   # read more than once; its size is that of one micro-batch
@@ -40,35 +46,39 @@ class DedupSink:
         fresh = df
         if known is not None:
             late = salted_join(with_cell(df), known, GROUP)
-            fresh = late.where(F.col("last").isNull() | (F.col("t") >= F.col("last") + self.width))
+            close = F.exists("times", lambda x: F.abs(F.col("t") - x) < self.width)
+            fresh = late.where(F.col("times").isNull() | ~close)
         out = f"{self.path}/accepted/batch={batch_id}"
         (dedup(fresh.select(*df.columns), self.interval)
          .write.mode("overwrite").partitionBy("org", "stream").parquet(out))
         self._remember(spark, out, known, batch_id)
 
     def _versions(self, spark: SparkSession) -> list[int]:
-        names = child_names(spark, f"{self.path}/last")
+        names = child_names(spark, f"{self.path}/known")
         return sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
 
     def _known(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
         earlier = [v for v in self._versions(spark) if v < batch_id]
-        return spark.read.parquet(f"{self.path}/last/version={earlier[-1]}") if earlier else None
+        return spark.read.parquet(f"{self.path}/known/version={earlier[-1]}") if earlier else None
 
     def _remember(self, spark: SparkSession, out: str, known: DataFrame | None, batch_id: int) -> None:
         if not any(n.startswith("org=") for n in child_names(spark, out)):
             if known is not None:   # nothing accepted: the table stays as it is
-                known.write.mode("overwrite").parquet(f"{self.path}/last/version={batch_id}")
+                known.write.mode("overwrite").parquet(f"{self.path}/known/version={batch_id}")
             return
-        last = with_cell(read_accepted_batch(spark, out)).select(*GROUP, F.col("t").alias("last"))
+        new = with_cell(read_accepted_batch(spark, out)).select(
+            *GROUP, F.array("t").alias("times"), F.lit(batch_id).cast("long").alias("seen"))
         if known is not None:
-            last = last.unionByName(known)
-        last = last.groupBy(*GROUP).agg(F.max("last").alias("last"))
-        horizon = last.groupBy().agg((F.max("last") - self.keep).alias("h"))
-        (last.where(F.col("last") >= horizon.scalar())
-         .write.mode("overwrite").parquet(f"{self.path}/last/version={batch_id}"))
+            new = new.unionByName(known)
+        # an id's times lie at least an interval apart, so keep / interval of them at most
+        merged = new.groupBy(*GROUP).agg(
+            F.array_distinct(F.flatten(F.collect_list("times"))).alias("times"), F.max("seen").alias("seen"))
+        recent = F.filter("times", lambda x: x > F.array_max("times") - self.keep)
+        (merged.where(F.col("seen") >= batch_id - self.batches).withColumn("times", recent)
+         .write.mode("overwrite").parquet(f"{self.path}/known/version={batch_id}"))
         for v in self._versions(spark):
             if v < batch_id - 1:
-                delete_path(spark, f"{self.path}/last/version={v}")
+                delete_path(spark, f"{self.path}/known/version={v}")
 
 
 _ROW = ("seq long, topic string, message_key string, message_id string, content_type string, "

@@ -21,22 +21,25 @@ OUTPUT_DDL = "topic string, message_key string, message_id string, body string"
 @dataclass
 class Processor:
     """``inputs`` maps a stream's name to a function from its messages to output
-    rows (``OUTPUT`` columns). Works on batch and streaming messages."""
+    rows (``OUTPUT`` columns). Works on batch and streaming messages. A message of any
+    other stream fails alone: see :meth:`unknown`."""
 
     inputs: dict[str, Callable[[DataFrame], DataFrame]]
 
     def run(self, messages: DataFrame) -> DataFrame:
-        names = list(self.inputs)
-        known = F.when(F.col("stream").isin(names), F.col("stream")).otherwise(
-            F.raise_error(F.concat(F.lit("unknown source stream "), F.col("stream"))).cast("string"))
-        checked = messages.withColumn("stream", known)
-        outputs = [fn(checked.where(F.col("stream") == name)).select(*OUTPUT)
+        outputs = [fn(messages.where(F.col("stream") == name)).select(*OUTPUT)
                    for name, fn in self.inputs.items()]
         out = outputs[0]
         for other in outputs[1:]:
             out = out.unionByName(other)
         return out
 
+    def unknown(self, messages: DataFrame) -> DataFrame:
+        """Dead letters: messages of streams that no function takes."""
+        other = ~F.coalesce(F.col("stream").isin(list(self.inputs)), F.lit(False))
+        return messages.where(other).withColumn(
+            "failure", F.concat(F.lit("unknown source stream "), F.coalesce("stream", F.lit("null"))))
+
     def start(self, messages: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
               trigger: dict) -> StreamingQuery:
         return (self.run(messages).writeStream.foreachBatch(sink)

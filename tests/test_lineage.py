@@ -6,34 +6,31 @@ from millrace.operators.lineage import cycles, edges, one_cycle
 from millrace.schemas import small_df
 
 DDL = "org string, task string, inputs array<string>, outputs array<string>"
-CASES = {
-    "no_cycle": ["A a b", "B b c,d", "C a e", "D e f"],
-    "self": ["A a a", "B b c"],
-    "hop_one": ["A a b", "B b a"],
-    "hop_two": ["A a b", "B b c", "C c a"],
-    "two_cycles": ["A a a,b", "B b a"],
-}
-EXPECT = {"self": "A", "hop_one": "AB", "hop_two": "ABC", "two_cycles": "AB"}
-ONE = {"self": ["A"], "hop_one": ["A", "B"], "hop_two": ["A", "B", "C"], "two_cycles": ["A"]}
 
-
-def rows():
-    out = []
-    for org, tasks in CASES.items():
-        for t in tasks:
-            name, i, o = t.split()
-            out.append(dict(org=org, task=name, inputs=i.split(","), outputs=o.split(",")))
-    return out
+def ring(org, n, first=0):
+    """Tasks in a circle, each writing the queue the next one reads."""
+    return [dict(org=org, task=f"{org}{first + i:02d}", inputs=[f"r{first + i}"], outputs=[f"r{first + (i + 1) % n}"])
+            for i in range(n)]
 
 
 @pytest.mark.parametrize("small", [0, 1000])
-def test_reference_cases(spark, small):
-    df = small_df(spark, rows(), DDL)
+def test_rings_chains_and_loops(spark, small):
+    chain = [dict(org="line", task=f"line{i}", inputs=[f"l{i}"], outputs=[f"l{i + 1}", "sink"]) for i in range(6)]
+    loop = [dict(org="loop", task="far", inputs=["x", "y"], outputs=["y"]),
+            dict(org="loop", task="near", inputs=["y"], outputs=["x"])]
+    # two rings that a bridge joins one way, and a tail that leaves the second
+    pair = ring("pair", 3) + ring("pair", 5, 10) + [
+        dict(org="pair", task="bridge", inputs=["r1"], outputs=["r12"]),
+        dict(org="pair", task="tail", inputs=["r13"], outputs=["out"])]
+    df = small_df(spark, chain + loop + ring("seven", 7) + pair, DDL)
     got = {}
     for r in cycles(df, small).collect():
-        got.setdefault(r.org, []).append(r.task)
-    assert {k: "".join(sorted(v)) for k, v in got.items()} == EXPECT
-    assert {r.org: r.cycle for r in one_cycle(df, small).collect()} == ONE
+        got.setdefault(r.org, set()).add(r.task)
+    assert got == {"loop": {"far", "near"}, "seven": {f"seven{i:02d}" for i in range(7)},
+                   "pair": {f"pair{i:02d}" for i in (0, 1, 2, 10, 11, 12, 13, 14)}}
+    one = {r.org: r.cycle for r in one_cycle(df, small).collect()}
+    assert one == {"loop": ["far"], "seven": [f"seven{i:02d}" for i in range(7)],
+                   "pair": ["pair00", "pair01", "pair02"]}
 
 
 def test_empty_and_orgs_apart(spark):

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import format as fmt
 from millrace.functions.sqlgate import FORBIDDEN, NotReadOnly, check_read_only, gate
+from millrace.session import child_names
 from millrace.plans.sql import database_schema, history, page, run_sql, table_name
 
 REFUSED = [f"{w} x" for w in FORBIDDEN] + ["select 1;\ndrop table x", "drop table x", "  Insert into t values (1)", "", "  "]
@@ -73,9 +74,9 @@ def test_history(spark):
 
 
 def test_csv_and_json(spark):
-    df = spark.createDataFrame([("value,with,commas", 1), ('value"with"quotes', 2), ("a\nb", 3), (None, 4), ("", 5)], "c string, n int")
+    df = spark.createDataFrame([("1,5;2", 1), ('the "big" one', 2), ("up\ndown", 3), (None, 4), ("", 5)], "c string, n int")
     lines = [r.line for r in fmt.to_csv_lines(df).collect()]
-    assert lines == ['"value,with,commas",1', '"value""with""quotes",2', '"a\nb",3', ",4", ",5"]
+    assert lines == ['"1,5;2",1', '"the ""big"" one",2', '"up\ndown",3', ",4", ",5"]
     assert fmt.csv_header(["a", "b,c"]) == 'a,"b,c"'
     assert [r.line for r in fmt.to_json_lines(df.where("n = 4")).collect()] == ['{"c":null,"n":"4"}']
     assert fmt.to_json_lines(df.limit(0)).count() == 0
@@ -89,3 +90,29 @@ def test_formats(spark):
     t = spark.createDataFrame([("abcdefgh",), ("abc",), (None,)], "t string")
     assert [r[0] for r in t.select(fmt.fmt_truncate(F.col("t"), 5)).collect()] == ["ab...", "abc", ""]
     assert t.select(fmt.fmt_truncate(F.col("t"), 5, total=False)).first()[0] == "abcde..."
+
+
+def test_parsed_plan_is_checked(spark, scratch):
+    tables = {"stream_a": lambda s: s.range(3).toDF("n")}
+    spark.range(2).write.mode("overwrite").saveAsTable("foreign_table")
+    target = scratch("stolen")
+    refused = [
+        rf"WITH x AS (SELECT r'\' AS a) INSERT OVERWRITE DIRECTORY '{target}' USING parquet SELECT 1",
+        "SELECT * FROM foreign_table", "SELECT * FROM default.foreign_table",
+        "SELECT n FROM stream_a WHERE n IN (SELECT id FROM foreign_table)",
+        "WITH y AS (SELECT * FROM foreign_table) SELECT * FROM y",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT n FROM stream_a ORDER BY java_method('java.lang.Math', 'random')",
+        "SELECT * FROM IDENTIFIER('foreign_table')", "SELECT * FROM parquet.`/tmp`",
+    ]
+    for sql in refused:
+        with pytest.raises(NotReadOnly):
+            run_sql(spark, tables, sql)
+    assert not child_names(spark, target)
+    fine = "WITH y AS (SELECT n FROM stream_a) SELECT (SELECT max(n) FROM y) + count(*) AS s FROM y, range(2)"
+    assert run_sql(spark, tables, fine).first().s == 8
+
+
+def test_gate_knows_raw_literals(spark):
+    log = spark.createDataFrame([(r"SELECT r'\' AS a, 'drop' AS b",), (r"SELECT r'\'; DROP TABLE t",)], "sql string")
+    assert [r[0] for r in log.select(gate(F.col("sql"))).collect()] == ["ok", "forbidden"]

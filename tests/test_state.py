@@ -12,14 +12,15 @@ from millrace.sources.messages import read_messages
 from millrace.streaming.state import StateEntry, read_state, state_stream
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
-KEY = ["someTask", "someMessageId"]
+KEY = ["billing", "room 7"]
+# a meter, a guest list, a lamp and a note of one hotel room
 LITERAL = [
-    ("keyS", "set_string", "val1"), ("keyS", "set_string", "val2"),
-    ("keySS1", "set_set", '["val1","val2"]'), ("keySS1", "add_to_set", "val3"), ("keySS1", "remove_from_set", "val2"),
-    ("keySS2", "add_to_set", "val4"), ("keyBool1", "set_bool", "true"), ("keyBool2", "set_bool", "true"),
-    ("keyBool2", "set_bool", "false"), ("keyN1", "set_number", "1"), ("keyN1", "add_number", "1"),
-    ("keyN2", "set_number", "0.1"), ("keyN2", "add_number", "1"), ("keyN3", "add_number", "1"),
-    ("keyJ", "set_json", '{"keyS":"val2","keySS":["val1","val3"]}'),
+    ("guest", "set_string", "Ada"), ("lamp", "set_bool", "true"), ("meter", "add_number", "2.5"),
+    ("guest", "set_string", "Bo"), ("visitors", "add_to_set", "cat"), ("meter", "set_number", "40"),
+    ("visitors", "add_to_set", "dog"), ("keys", "set_set", '["k2","k1"]'), ("meter", "add_number", "0.25"),
+    ("visitors", "remove_from_set", "cat"), ("heater", "set_bool", "true"), ("heater", "set_bool", "false"),
+    ("keys", "remove_from_set", "k2"), ("keys", "add_to_set", "k9"), ("note", "set_json", '{"wake":[6,30],"tea":true}'),
+    ("minibar", "add_number", "3"), ("minibar", "delete", None), ("gone", "set_string", "x"), ("gone", "delete", None),
 ]
 
 
@@ -35,12 +36,18 @@ def values(df):
 
 def test_literal_folds(spark):
     ops = log(spark, LITERAL)
-    assert values(S.fold_counter(ops)) == {"keyN1": 2, "keyN2": Decimal("1.1"), "keyN3": 1}
-    assert values(S.fold_set(ops)) == {"keySS1": ["val1", "val3"], "keySS2": ["val4"]}
+    assert values(S.fold_counter(ops)) == {"meter": Decimal("40.25"), "minibar": 0}
+    assert values(S.fold_set(ops)) == {"keys": ["k1", "k9"], "visitors": ["dog"]}
     texts = values(S.fold_register(ops))
-    assert texts["keyS"] == "val2" and texts["keyBool1"] == "true" and texts["keyBool2"] == "false"
-    got = S.fold_json(ops.where("attr = 'keyJ'"), "keyS string, keySS array<string>").first().value
-    assert got.keyS == "val2" and got.keySS == ["val1", "val3"]
+    assert (texts["guest"], texts["lamp"], texts["heater"], texts["gone"]) == ("Bo", "true", "false", None)
+    got = S.fold_json(ops.where("attr = 'note'"), "wake array<int>, tea boolean").first().value
+    assert got.wake == [6, 30] and got.tea is True
+
+
+def test_whole_state_has_types_and_no_deleted_entries(spark):
+    attrs = {k: json.loads(v) for k, v in S.fold_state(log(spark, LITERAL)).first().attrs.items()}
+    assert attrs == {"guest": "Bo", "lamp": True, "heater": False, "meter": 40.25, "visitors": ["dog"],
+                     "keys": ["k1", "k9"], "note": {"wake": [6, 30], "tea": True}}
 
 
 def test_state_entry_defaults_and_literals():
@@ -49,8 +56,8 @@ def test_state_entry_defaults_and_literals():
     for attr, op, value in LITERAL:
         e.apply(op, attr, value)
     again = StateEntry.load(e.dump())
-    assert again.get_set("keySS1") == {"val1", "val3"} and again.get_number("keyN2") == Decimal("1.1")
-    assert again.get_json("keyJ")["keySS"] == ["val1", "val3"] and again.get_bool("keyBool2") is False
+    assert again.get_set("keys") == {"k1", "k9"} and again.get_number("meter") == Decimal("40.25")
+    assert again.get_json("note")["wake"] == [6, 30] and again.get_bool("heater") is False
 
 
 def random_log(seed, n=400):
