@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable
@@ -13,6 +14,10 @@ from ..session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # texts differ in length by thousands: what goes to a Python worker at once is bounded
+    # by bytes, too
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,12 +36,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def worker_cache(name: str, make: Callable[[], object]) -> object:
-    """An object kept for the life of a Python worker. Functions travel to workers
-    by value, module globals with them, so it is kept under ``sys.modules``."""
+    """An object kept for the life of a Python worker, until another one is asked for.
+    Functions travel to workers by value, module globals with them, so it is kept under
+    ``sys.modules``."""
     home = sys.modules.setdefault("_millrace_worker", types.ModuleType("_millrace_worker"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    if getattr(home, "name", None) != name:
+        home.name, home.held = None, None   # let go of the old one first
+        home.held = make()
+        home.name = name
+    return home.held
+
+
+def release_cache() -> None:
+    """Let go of what ``worker_cache`` holds, before a step that needs the memory."""
+    worker_cache("", dict)
+    trim()
+
+
+def trim() -> None:
+    """Give memory that a worker has freed back to the system, at the end of a task:
+    workers stay and are many on a machine."""
+    import ctypes
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):   # another C library
+        pass
 
 
 def bit_filter(df: DataFrame, column: str, bits: int = 1 << 26) -> bytes:

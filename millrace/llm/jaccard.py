@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, settle
+from .common import bit_filter, release_cache, settle, trim
 from .components import components
 from .shingles import distinct, shingle_sets
 
 HOT = 1 << 18       # shingles whose frequency is known, whatever the input's size
-BLOCK = 4 << 20     # shingles held at once by a task
+BLOCK = 2 << 20     # shingles held at once by a task
 RANGES = 32         # hash ranges of the suffix filter
 BITS = 1 << 26      # size of the filter on nodes that need their sets
 
@@ -47,6 +47,7 @@ def _key(shingles: np.ndarray) -> tuple[int, bytes]:
 
 def _document_rows(width):
     def run(batches):
+        release_cache()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             n, node = [], []
@@ -77,6 +78,7 @@ def _block_counts(width):
                     held, size = [], 0
         if held:
             yield flush(held)
+        trim()
     return run
 
 
@@ -124,6 +126,7 @@ def _postings(width, num, den, frequent):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(shingle).view(np.int64)), pa.array(np.concatenate(node)),
                      pa.array(np.concatenate(at))], ["shingle", "node", "at"])
+        trim()
     return run
 
 
@@ -149,6 +152,7 @@ def _sets(width, wanted):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(node, pa.int64()), pa.array(ranges, pa.binary()), pa.array(whole, pa.binary())],
                 ["node", "ranges", "whole"])
+        trim()
     return run
 
 

@@ -12,7 +12,7 @@ MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 BASE = 0x9E3779B97F4A7C15
 SPACES = b" \t\n\x0b\x0c\r"
 
-PIECE = 4 << 20   # bytes of text that are hashed at once
+PIECE = 1 << 20   # bytes of text that are hashed at once
 
 
 def mix(h: np.ndarray) -> np.ndarray:

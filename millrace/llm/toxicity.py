@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import trim, worker_cache
 
-SAMPLE = 16_000      # labelled documents that the model is fitted on, at most
+SAMPLE = 10_000      # labelled documents that the model is fitted on, at most
 FEATURES = 1 << 32   # hashed words
 LEAST = 5            # sampled documents, different in text, that a feature needs
 LARGEST = 12.0       # size of a weight
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def _score(model, place):
     def run(batches):
-        known = worker_cache(f"toxic {id(model) if model is None else hash(tuple(model.weights.items()))}", dict)
+        known = worker_cache(f"toxic {hash(tuple(model.weights.items()))}", dict)
 
         def weight(word):
             w = known.get(word)
@@ -169,6 +169,7 @@ def _score(model, place):
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(chances.sum(axis=1)), pa.array((chances >= 0.5).sum(axis=1), pa.int32())],
                 [*batch.schema.names, "expected_severity", "grade"])
+        trim()
     return run
 
 
