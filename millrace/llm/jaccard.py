@@ -35,7 +35,7 @@ from .components import components
 from .shingles import distinct, shingle_sets
 
 HOT = 1 << 18       # shingles whose frequency is known, whatever the input's size
-BLOCK = 2 << 20     # shingles held at once by a task
+BLOCK = 4 << 20     # shingles held at once by a task
 RANGES = 32         # hash ranges of the suffix filter
 BITS = 1 << 26      # size of the filter on nodes that need their sets
 
@@ -193,8 +193,14 @@ def _can_reach(num, den, na, pa_, nb, pb):
             & ((num + den) * F.least(na - pa_, nb - pb) >= num * (na + nb)))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of distinct pairs ``(a, b)`` those at the threshold."""
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Of distinct pairs ``(a, b)`` those at the threshold. Only the sets of documents in
+    these pairs are made again and moved."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = texts.sparkSession.sparkContext.broadcast(bit_filter(ends, "node", BITS))
+    sets = texts.mapInArrow(_sets(width, wanted), "node long, ranges binary, whole binary")
+    sets = settle(sets.groupBy("node").agg(F.first("ranges").alias("ranges"), F.first("whole").alias("whole")), "sets")
+
     def side(column, end):
         return sets.select(F.col("node").alias(end), F.col(column).alias(f"{column}_{end}"))
     near = (pairs.join(side("ranges", "a"), "a").join(side("ranges", "b"), "b")
@@ -224,16 +230,12 @@ def _classes(docs: DataFrame, doc_id: str, text: str, width: int, num: int, den:
         .distinct(), "met")
     pivot = met.where("first").select("shingle", F.struct("node", "n", "place").alias("pivot"))
 
-    wanted = context.broadcast(bit_filter(met, "node", BITS))
-    sets = texts.mapInArrow(_sets(width, wanted), "node long, ranges binary, whole binary")
-    sets = settle(sets.groupBy("node").agg(F.first("ranges").alias("ranges"), F.first("whole").alias("whole")), "sets")
-
     by_pivot = settle(
         met.join(pivot, "shingle").where(F.col("pivot.node") != F.col("node"))
         .where(_can_reach(num, den, F.col("n"), F.col("place"), F.col("pivot.n"), F.col("pivot.place")))
         .select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct(),
         "pairs")
-    links = settle(_verified(by_pivot, sets, num, den), "verified")
+    links = settle(_verified(by_pivot, texts, width, num, den), "verified")
     group = settle(components(links, "a", "b"), "groups")
 
     # pairs that could still join two components
@@ -251,7 +253,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, width: int, num: int, den:
             .where(_can_reach(num, den, F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b")))
             .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
             .join(by_pivot, ["a", "b"], "left_anti"))
-    all_links = settle(links.unionByName(_verified(settle(rest, "rest"), sets, num, den)), "links")
+    all_links = settle(links.unionByName(_verified(settle(rest, "rest"), texts, width, num, den)), "links")
     group = components(all_links, "a", "b")
 
     return rows.join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
