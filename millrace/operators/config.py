@@ -18,13 +18,16 @@ def resolve_topics(msgs: DataFrame, topics: DataFrame) -> DataFrame:
 
     Order: the topic itself; if undefined topics are allowed (unset means
     allowed) the org's default, then the global default (lake only); else null.
+    Of several versions the highest holds, so a message is never multiplied.
     Neither join carries a broadcast hint: the configuration grows with the
     tenants, so Catalyst checks its size and AQE splits a hot topic otherwise.
     """
-    explicit = topics.where(F.col("topic").isNotNull()).select(
-        "org", "topic", _cfg().alias("own"))
-    defaults = topics.where(F.col("topic").isNull()).select(
-        "org", "allow_undefined", _cfg().alias("fallback"))   # as given, destinations all off too
+    version = F.coalesce("version", F.lit(-1).cast("long"))
+    explicit = topics.where(F.col("topic").isNotNull()).groupBy("org", "topic").agg(
+        F.max_by(_cfg(), version).alias("own"))
+    defaults = topics.where(F.col("topic").isNull()).groupBy("org").agg(
+        F.max_by(F.struct("allow_undefined", _cfg().alias("fallback")), version).alias("default")).select(
+        "org", "default.*")   # as given, destinations all off too
     global_default = F.struct(
         F.lit(True).alias("has_batch"), F.lit(DEFAULT_RETENTION).alias("retention"),
         F.array().cast("array<string>").alias("streams"), F.lit(None).cast(STORE).alias("store"))

@@ -117,7 +117,7 @@ def result_page(spark, sf):
     orders = derived.table(spark, sf, "orders").select(
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderkey", "o_orderstatus",
         (F.col("o_totalprice") > 100000).alias("large"))
-    return page(orders, ["day", "o_orderkey"], after=["1997-06-15", 500], n=5000)
+    return page(orders, ["day", "o_orderkey"], after=["1997-06-15", 500], n=1000)
 
 
 QUERIES["result_page"] = result_page

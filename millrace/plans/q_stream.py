@@ -144,10 +144,9 @@ SELECT state_key, count(DISTINCT least((day("at") - 1) // 6, 4)) AS changes, max
 
 
 def _logins(spark, sf):
-    """Events as messages of two input streams, with the value as body."""
-    kind = F.col("event_type")
-    return derived.events(spark, sf).where(kind.isin("signup", "click")).select(
-        F.when(kind == "signup", "evt_register").otherwise("evt_login").alias("stream"),
+    """All events as messages of two input streams, with the value as body."""
+    return derived.events(spark, sf).select(
+        F.when(F.col("event_type") == "signup", "evt_register").otherwise("evt_login").alias("stream"),
         F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("message_key"),
         F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id"),
         F.to_json(F.struct("user_id", "value")).alias("body"), F.col("ts").alias("received_at"))
@@ -162,7 +161,7 @@ def last_value_by_key(spark, sf):
 
 QUERIES["last_value_by_key"] = last_value_by_key
 ORACLES["last_value_by_key"] = """
-SELECT CAST(user_id AS VARCHAR) AS message_key, value, event_id AS seq FROM events WHERE event_type IN ('signup', 'click')
+SELECT CAST(user_id AS VARCHAR) AS message_key, value, event_id AS seq FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
 
 
@@ -179,7 +178,7 @@ QUERIES["processor"] = processor
 ORACLES["processor"] = """
 SELECT CASE event_type WHEN 'signup' THEN 'welcome' ELSE 'last_ip' END AS topic, CAST(user_id AS VARCHAR) AS message_key,
   count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value
-FROM events WHERE event_type IN ('signup', 'click') GROUP BY ALL"""
+FROM events GROUP BY ALL"""
 
 
 def _count_visits(state, row):
@@ -207,7 +206,7 @@ ORACLES["keyed_session_state"] = """
 SELECT message_key, message_id, visits FROM (
   SELECT CAST(user_id AS VARCHAR) AS message_key, concat('m', CAST(event_id AS VARCHAR)) AS message_id,
     CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS visits
-  FROM events WHERE event_type IN ('signup', 'click')) v WHERE visits % 10 = 0"""
+  FROM events) v WHERE visits % 10 = 0"""
 
 
 def last_value_stream(spark, sf):

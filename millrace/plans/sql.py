@@ -72,12 +72,15 @@ def page(df: DataFrame, order_cols: list[str], after: list | None = None, n: int
          state: str = "SUCCEEDED") -> DataFrame:
     """One page of a result as text cells. ``order_cols`` must be a total order;
     pass the last row's values as ``after``. Finding a page is a top-n, so no
-    earlier page is sorted or moved again."""
+    earlier page is sorted or moved again. A size outside 1 to ``RESULT_PAGE_MAX``
+    is refused."""
+    if not 1 <= n <= RESULT_PAGE_MAX:
+        raise ValueError(f"a page has 1 to {RESULT_PAGE_MAX} rows, not {n}")
     if state != "SUCCEEDED":
         raise ValueError(f"no results: the query is {state}")
     if after is not None:
         df = df.where(_beyond(order_cols, after))
-    return as_text(df.orderBy(*order_cols).limit(max(1, min(n, RESULT_PAGE_MAX))))
+    return as_text(df.orderBy(*order_cols).limit(n))
 
 
 def _beyond(cols: list[str], after: list) -> Column:

@@ -88,6 +88,14 @@ def test_topic_fallback(spark):
     assert got == {0: "THREE_MONTHS", 1: None, 2: "WEEK", 3: "YEAR", 4: "THREE_MONTHS"}
 
 
+def test_highest_version_of_a_topic(spark):
+    topics = topics_df(spark, [topic_row("o", "t", has_batch=True, retention=r, version=v)
+                               for r, v in (("WEEK", 2), ("YEAR", 7), ("DAY", None))]
+                       + [topic_row("o", None, has_batch=True, retention=r, version=v) for r, v in (("DAY", 1), ("WEEK", 3))])
+    df = resolve_topics(small_df(spark, [msg(1, "{}", topic="t"), msg(2, "{}", topic="u")], MESSAGES), topics)
+    assert sorted((r.seq, r.cfg.retention) for r in df.collect()) == [(1, "YEAR"), (2, "WEEK")]
+
+
 def test_conservation(spark, sf_dir):
     msgs, topics = derived.messages(spark, sf_dir), derived.topics(spark)
     v = I.validate(msgs, topics)

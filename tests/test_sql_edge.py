@@ -63,6 +63,9 @@ def test_pages_cover_everything(spark):
     assert seen == sorted(((str(i % 3), str(i)) for i in range(25)), key=lambda x: (int(x[0]), int(x[1])))
     with pytest.raises(ValueError):
         page(df, ["b"], state="RUNNING")
+    for n in (0, 1001):
+        with pytest.raises(ValueError):
+            page(df, ["b"], n=n)
 
 
 def test_history(spark):
