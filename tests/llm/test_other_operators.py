@@ -142,6 +142,18 @@ def test_extraction(spark):
     assert extract.extract(frame.limit(0)).count() == 0
 
 
+def test_text_behind_inline_boilerplate_stays():
+    for page, want in [
+            ("<p>Before <span class=ad>x <span>y</span> z</span> after.</p><p>Next", "Before\n\nafter.\n\nNext"),
+            ("<p><a class=share>x</a>Start <b>of</b> it.</p>", "Start of it."),
+            ("<article><a class=share>s</a><h1>Head</h1><p>One</p></article>", "Head\n\nOne"),
+            ("<article><p>One</p><span class=social>s</span><p>Two</p></article>", "One\n\nTwo"),
+            ("<article><a class=share><div>s</a>One</div><p>Two</p></article>", "One\n\nTwo"),
+            ("<ul><li>one <span class=ad>x<li>two</ul>", "one\n\ntwo"),
+            ("<p>a <span class=ad>x<b>y</span></b> b</p>", "a\n\nb")]:
+        assert extract.main_text(page, None) == want
+
+
 def test_template_finds_the_container(spark):
     """Pages without an article: the container is what holds the hosts' text."""
     pages = [(i, "h", f"<body><div class=x1>top {i % 2}</div><div class=x2><p>{'text of the page ' * 30}{i}</p><p>end {i}</p></div>")
