@@ -7,10 +7,14 @@ for each half of the coordinates, so the filters of a vector are list-decoded: w
 the scores against both codes sorted, the pairs above the threshold are read off
 without looking at the others.
 
-The threshold follows the number of vectors, so that a cap holds about ``CAP``
-unrelated vectors at any size; the number of directions follows from ``SHARED``, the
-caps that two vectors at the similarity limit share on average. Then vectors are
-joined on filters and every pair that meets is verified by its exact cosine.
+The threshold follows the number of vectors and the exact law of cosines in their
+dimension, so that a cap holds about ``CAP`` vectors of random direction; in few
+dimensions, where so small a cap would part the pairs sought, it stays wider. The
+number of directions starts from ``SHARED``, the caps that two vectors at the
+similarity limit share on average, and is raised until ``RECALL`` of random pairs at
+the limit share a cap of the codes in use. Codes are turned at random, so any pair is
+as a random one, whatever coordinates its length lies in. Then vectors are joined on
+filters and every pair that meets is verified by its exact cosine.
 
 Equal vectors are one node. Caps are cut into blocks of ``BLOCK`` nodes and verified
 block by block, so a cap of any size is many tasks. A task returns, for each node, how
@@ -32,58 +36,101 @@ from .common import settle
 from .components import components
 
 CAP = 256        # unrelated vectors in a cap, on average
-SHARED = 14.0    # caps shared, on average, by two vectors at the limit
+SHARED = 14.0    # caps shared, on average, by two vectors at the limit, at least
+RECALL = 0.99    # of random pairs at the limit that share a cap, at least
+FOLLOW = 0.1     # of a vector's caps that hold a vector at the limit, at least
+TRIALS = 2000    # random pairs that a plan is tried on
+LEAST_DIM = 16   # shorter vectors are filtered as if zeros followed
 BLOCK = 1024
 SEED = 7
 
 
-def _normal_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def _tails(t: float, limit: float, dim: int) -> tuple[float, float]:
+    """Chance that a random direction's cosine with a vector is at least t, and that both
+    its cosines with two vectors at the limit are: the law of one coordinate of the
+    sphere, then, of what is left, of a coordinate of the sphere one dimension lower."""
+    angle = np.linspace(0.0, math.pi, 20_001)
+    # density sin^(dim - 2) of the angle to an axis
+    weight = np.sin(angle) ** (dim - 2)
+    own = angle[angle <= math.acos(max(-1.0, min(1.0, t)))]
+    share = float(weight[:len(own)].sum() / weight.sum())
+    lower = np.sin(angle) ** (dim - 3)
+    within = np.cumsum(lower) / lower.sum()   # chance of an angle up to this one
+    spread = math.sqrt(max(0.0, 1 - limit * limit))
+    need, room = t - limit * np.cos(own), spread * np.sin(own)
+    least = np.where(room > 1e-12, need / np.maximum(room, 1e-12), np.where(need <= 0, -2.0, 2.0))
+    chance = np.where(least > 1, 0.0, np.interp(np.arccos(np.clip(least, -1, 1)), angle, within))
+    return share, float((weight[:len(own)] * chance).sum() / weight.sum())
 
 
-def plan(count: int, limit: float, cap: int = CAP, shared: float = SHARED) -> tuple[float, int]:
-    """Threshold of a cap, in standard deviations of a random cosine, and the number of
-    directions in each of the two codes."""
-    share = min(0.25, max(cap / max(count, 1), 1e-12))
-    low, high = 0.0, 8.0
-    for _ in range(60):
-        z = (low + high) / 2
-        low, high = (z, high) if _normal_tail(z) > share else (low, z)
-    # chance that both of two normal values with this correlation exceed z
-    spread = math.sqrt(1 - limit * limit)
-    x = np.linspace(z, z + 8, 4001)
-    density = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-    beyond = np.array([_normal_tail((z - limit * v) / spread) for v in x])
-    both = float(np.sum(density * beyond) * (x[1] - x[0]))
-    return z, max(2, math.ceil(math.sqrt(shared / both)))
+def plan(count: int, limit: float, dim: int, cap: int = CAP, shared: float = SHARED,
+         seed: int = SEED) -> tuple[float, int]:
+    """The least cosine with a direction that puts a vector in its cap, and the number of
+    directions in each of the two codes, for ``count`` vectors of this length."""
+    whole = max(dim, LEAST_DIM)
+    wanted = min(0.25, max(cap / max(count, 1), 1e-12))
+    low, high = -1.0, 1.0
+    for _ in range(40):
+        t = (low + high) / 2
+        share, both = _tails(t, limit, whole)
+        low, high = (t, high) if share > wanted and both >= FOLLOW * share else (low, t)
+    t = low
+    while True:
+        least = max(2, math.ceil(math.sqrt(shared / max(_tails(t, limit, whole)[1], 1e-12))))
+        size = least
+        while size <= 4 * least:
+            if recall(t, size, limit, dim, seed) >= RECALL:
+                return t, size
+            size = max(size + 1, math.ceil(1.1 * size))
+        t -= 0.05   # wider caps, where more of them do not help
+
+
+def recall(t: float, size: int, limit: float, dim: int, seed: int = SEED, pairs: int = TRIALS) -> float:
+    """Share of random pairs at the limit that share a cap; with one coordinate, where the
+    only pairs are parallel, of those."""
+    draw = np.random.default_rng([seed, dim, pairs])
+    one = _scaled(draw.standard_normal((pairs, dim)))
+    two = one
+    if dim > 1:
+        way = draw.standard_normal((pairs, dim))
+        way = _scaled(way - (way * one).sum(axis=1, keepdims=True) * one)
+        two = limit * one + math.sqrt(max(0.0, 1 - limit * limit)) * way
+    codes = _codes(dim, size, seed)
+    first, second = decode(one, t, codes), decode(two, t, codes)
+    return float(np.mean([len(np.intersect1d(a, b, assume_unique=True)) > 0
+                          for a, b in zip(first, second, strict=True)]))
 
 
 def _codes(dim: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng([seed, dim, size])
+    """The two codes, each direction a column, turned by one random rotation."""
+    whole = max(dim, LEAST_DIM)
+    draw = np.random.default_rng([seed, whole, size])
+    half = whole - whole // 2
+    turn = np.linalg.qr(draw.standard_normal((whole, whole)))[0][:dim]
     halves = []
-    for d in (dim - dim // 2, dim // 2):
-        code = draw.standard_normal((size, max(d, 1)))[:, :d]
-        norm = np.linalg.norm(code, axis=1, keepdims=True)
-        halves.append(code / np.where(norm > 0, norm, 1))
+    for part in (turn[:, :half], turn[:, half:]):
+        code = draw.standard_normal((size, part.shape[1]))
+        halves.append(part @ (code / np.linalg.norm(code, axis=1, keepdims=True)).T)
     return halves[0], halves[1]
 
 
-def decode(unit: np.ndarray, z: float, codes: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+def decode(unit: np.ndarray, t: float, codes: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """For each unit vector the sorted numbers of the filters it belongs to."""
-    dim, size = unit.shape[1], len(codes[0])
-    half = dim - dim // 2
-    need = z / math.sqrt(dim) * math.sqrt(2)   # directions are pairs divided by the root of two
-    x, y = unit[:, :half] @ codes[0].T, unit[:, half:] @ codes[1].T
-    order = np.argsort(y, axis=1)
+    size = codes[0].shape[1]
+    need = t * math.sqrt(2)   # directions are pairs divided by the root of two
     found = []
-    for a, b, by in zip(x, y, order, strict=True):
-        b = b[by]
-        i = np.flatnonzero(a + b[-1] >= need)
-        least = np.searchsorted(b, need - a[i])
-        many = size - least
-        first = np.repeat(i, many)
-        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        found.append(np.sort(first * size + by[np.repeat(least, many) + step]))
+    rows = max(1, 1_000_000 // size)
+    for at in range(0, len(unit), rows):
+        x, y = unit[at:at + rows] @ codes[0], unit[at:at + rows] @ codes[1]
+        order = np.argsort(y, axis=1)
+        for a, b, by in zip(x, y, order, strict=True):
+            b = b[by]
+            i = np.flatnonzero(a + b[-1] >= need)
+            least = np.searchsorted(b, need - a[i])
+            many = size - least
+            first = np.repeat(i, many)
+            step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            found.append(np.sort(first * size + by[np.repeat(least, many) + step]))
     return found
 
 
@@ -111,35 +158,41 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filters(z, size, seed):
+def _filters(plans, seed, step=256):
     def run(batches):
         codes = {}
         for batch in batches:
             rows = {}
             for i, raw in enumerate(batch.column("vector").to_pylist()):
                 rows.setdefault(len(raw) // 8, []).append((i, raw))
-            for dim, held in rows.items():
+            for dim, whole in rows.items():
+                t, size = plans[dim]
                 if dim not in codes:
                     codes[dim] = _codes(dim, size, seed)
-                unit = _scaled(np.frombuffer(b"".join(r for _, r in held)).reshape(-1, dim))
-                found = decode(unit, z, codes[dim])
-                many = np.array([len(f) for f in found])
-                take = pa.array(np.repeat(np.array([i for i, _ in held]), many))
-                packed = pa.array([f.astype("<i8").tobytes() for f in found], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(int(many.sum()), dim, dtype=np.int32)), pa.array(np.concatenate(found)),
-                     batch.column("node").take(take), batch.column("copies").take(take),
-                     batch.column("vector").take(take), packed.take(pa.array(np.repeat(np.arange(len(many)), many)))],
-                    ["dim", "filter", "node", "copies", "vector", "filters"])
+                for at in range(0, len(whole), step):
+                    held = whole[at:at + step]
+                    unit = _scaled(np.frombuffer(b"".join(r for _, r in held)).reshape(-1, dim))
+                    found = decode(unit, t, codes[dim])
+                    many = np.array([len(f) for f in found])
+                    take = pa.array(np.repeat(np.array([i for i, _ in held]), many))
+                    packed = pa.array([f.astype("<i8").tobytes() for f in found], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(int(many.sum()), dim, dtype=np.int32)), pa.array(np.concatenate(found)),
+                         batch.column("node").take(take), batch.column("copies").take(take),
+                         batch.column("vector").take(take),
+                         packed.take(pa.array(np.repeat(np.arange(len(many)), many)))],
+                        ["dim", "filter", "node", "copies", "vector", "filters"])
     return run
 
 
-def _shares_earlier(mine: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 20_000) -> np.ndarray:
+def _shares_earlier(mine: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 4_000_000) -> np.ndarray:
     """Whether rows a and b of ``mine`` (filters before this one, padded) have one in common."""
     out = np.zeros(len(a), dtype=bool)
+    step = max(1, most // mine.shape[1] ** 2)
+    against = np.where(mine < 0, -2, mine)   # padding equals nothing
     for i in range(0, len(a), step):
-        x, y = mine[a[i:i + step]], mine[b[i:i + step]]
-        out[i:i + step] = ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any(axis=(1, 2))
+        x, y = mine[a[i:i + step]], against[b[i:i + step]]
+        out[i:i + step] = (x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
     return out
 
 
@@ -196,9 +249,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     nodes = rows.where("node is not null").groupBy("node").agg(
         F.count("*").alias("copies"), F.first("vector").alias("vector"))
     nodes = settle(nodes, "nodes")
-    z, size = plan(nodes.count(), limit, cap, shared)
+    counts = nodes.groupBy((F.octet_length("vector") / 8).cast("int").alias("dim")).agg(F.count("*").alias("n")).collect()
+    plans = {c["dim"]: plan(c["n"], limit, c["dim"], cap, shared, seed) for c in counts}
     caps = settle(nodes.mapInArrow(
-        _filters(z, size, seed),
+        _filters(plans, seed),
         "dim int, filter long, node long, copies long, vector binary, filters binary"), "caps")
     sizes = (caps.groupBy("dim", "filter").agg(F.count("*").alias("n")).where("n > 1")
              .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))

@@ -72,6 +72,28 @@ def test_embeddings_against_all_pairs(spark):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_recall_holds_at_any_size_and_dimension(spark):
+    for count, dim in ((500, 64), (1_000_000, 64), (1_000_000, 16), (1_000_000, 3)):
+        t, size = embeddings.plan(count, 0.9, dim)
+        rng = np.random.default_rng([3, dim])
+        one = rng.standard_normal((1000, dim))
+        one /= np.linalg.norm(one, axis=1, keepdims=True)
+        way = rng.standard_normal((1000, dim))
+        way -= (way * one).sum(axis=1, keepdims=True) * one
+        way /= np.linalg.norm(way, axis=1, keepdims=True)
+        codes = embeddings._codes(dim, size, embeddings.SEED)
+        first, second = (embeddings.decode(v, t, codes) for v in (one, 0.9 * one + np.sqrt(1 - 0.81) * way))
+        assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(first, second)]) >= 0.97
+        # a cap holds as many vectors as planned
+        if count == 1_000_000 and dim == 64:
+            assert 200 < count * np.mean([len(f) for f in first]) / size ** 2 < 320
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(2).tolist()) for i in range(600)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cap=16).collect()
+    total = sum(map(len, brute_links(rows, 0.9)))
+    assert 0.97 * total <= sum(r.n_links for r in got) <= total
+
+
 def test_caps_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 16)
     rng = np.random.default_rng(9)
