@@ -81,7 +81,7 @@ def _captures(pages: DataFrame) -> DataFrame:
 def _entries(pages: DataFrame) -> DataFrame:
     """Three dated entries of each host and of each host and first path segment: listed,
     taken off, listed under another category."""
-    found = pages.select(F.filter(urls.keys(F.col("url")), lambda k: F.length(F.regexp_replace(k, "[^/]", "")) <= 1)
+    found = pages.select(F.filter(urls.keys(F.col("url"), [1]), lambda k: F.length(F.regexp_replace(k, "[^/]", "")) <= 1)
                          .alias("keys")).select(F.explode("keys").alias("key")).distinct()
     spread = F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long")
     first = F.lit(1704067200) + spread % 300 * 86400
@@ -159,7 +159,8 @@ m AS (
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
-  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM w)
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM w)
   LEFT JOIN covered USING (doc_id)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 good AS (

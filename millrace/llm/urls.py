@@ -17,25 +17,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 64
-LONGEST_PATH = 4   # path segments that a listed prefix can have
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
-def keys(url: Column) -> Column:
+def keys(url: Column, depths: list[int]) -> Column:
     """The keys a URL falls under: its host and every parent domain of two labels or
-    more, and its host with one to ``LONGEST_PATH`` leading path segments. Host names
-    are compared in lower case, paths as they are."""
+    more, and its host with as many leading path segments as ``depths`` names. Host
+    names are compared in lower case, paths as they are."""
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
                           lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     segments = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1), "/"), lambda s: s != "")
+    asked = F.array(*[F.lit(d) for d in depths if d > 0]).cast("array<int>")
     prefixes = F.transform(
-        F.sequence(F.lit(0), F.least(F.size(segments), F.lit(LONGEST_PATH))),
-        lambda i: F.concat(host, F.lit("/"), F.concat_ws("/", F.slice(segments, F.lit(1), i))))
-    return F.when(host != "", F.array_distinct(F.concat(domains, F.filter(prefixes, lambda p: ~p.endswith("/")))))
+        F.filter(asked, lambda d: d <= F.size(segments)),
+        lambda d: F.concat(host, F.lit("/"), F.concat_ws("/", F.slice(segments, F.lit(1), d))))
+    return F.when(host != "", F.array_distinct(F.concat(domains, prefixes)))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -73,10 +73,13 @@ def judge(captures: DataFrame, entries: DataFrame, capture_id: str, url: str, fe
 
     held = intervals(entries).where((F.unix_micros("valid_from") <= hi)
                                     & (F.col("valid_to").isNull() | (F.unix_micros("valid_to") > lo)))
+    # path segments of the listed prefixes: only of these lengths are prefixes looked up
+    depths = sorted(r["depth"] for r in entries.where("key is not null").select(
+        F.length(F.regexp_replace("key", "[^/]", "")).alias("depth")).distinct().collect())
     sliced = held.withColumn("slice", F.explode(F.sequence(
         F.greatest(place(F.col("valid_from")), F.lit(0)),
         F.least(F.coalesce(place(F.col("valid_to")), F.lit(SLICES)), F.lit(SLICES)))))
-    looked = (asked.withColumn("key", F.explode(keys(F.col("_url")))).withColumn("slice", place(F.col("fetched_at"))))
+    looked = (asked.withColumn("key", F.explode(keys(F.col("_url"), depths))).withColumn("slice", place(F.col("fetched_at"))))
     hits = (looked.join(sliced, ["key", "slice"])
             .where((F.col("valid_from") <= F.col("fetched_at"))
                    & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))

@@ -139,6 +139,16 @@ def test_urls_against_plain(spark):
     assert urls.judge(frame, log.limit(0), "id", "url", "at").where("blocked").count() == 0
 
 
+def test_listed_prefixes_of_any_depth(spark):
+    deep = "ok.org/" + "/".join(f"s{i}" for i in range(40))
+    log = spark.createDataFrame([("ok.org/a/b/c/d/e", "spam", T(2024, 1, 1), True), (deep, "adult", T(2024, 1, 1), True)],
+                                "key string, category string, at timestamp, listed boolean")
+    asked = ["http://ok.org/a/b/c/d/e/f?q=1", "http://ok.org/a/b/c/d/e", "http://ok.org/a/b/c/d", f"http://{deep}/x", "http://ok.org/"]
+    frame = spark.createDataFrame([(i, u, T(2024, 2, 1 + i)) for i, u in enumerate(asked)], "id long, url string, at timestamp")
+    got = {r.capture_id: r.categories for r in urls.judge(frame, log, "id", "url", "at").collect()}
+    assert got == {0: ["spam"], 1: ["spam"], 2: [], 3: ["adult"], 4: []}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>";</script></head>
 <body><header class="top">Site name</header><nav><ul><li><a href="/">Home</a><li>News</ul></nav><div class="cookie-notice">We use
 cookies</div><!-- <p>hidden</p> --><article><h1>Title %d &amp; more</h1><p><b>First&nbsp;line %d<br>goes   on.<p>Second <i>part</i>
