@@ -186,6 +186,18 @@ def test_text_behind_inline_boilerplate_stays():
         assert extract.main_text(page, None) == want
 
 
+def test_class_words_of_wrappers_do_not_drop_the_text(spark):
+    body = "<p>Text %d of the page.</p><div class=share-bar>Share %d</div><p class=search-note>%s</p>"
+    shapes = {"a": '<body><div class="layout has-sidebar"><div><h1>Head</h1>%s</div></div>', "b": '<main class="no-sidebar">%s</main>',
+              "c": '<article class="post category-search">%s</article>', "d": '<div class="has-sidebar"><article>%s</article></div>'}
+    rows = [(i, f"http://{h}.example/", shape % (body % (i, i, "Rare") if i == 0 else body[:body.index("<p class")] % (i, i)))
+            for h, shape in shapes.items() for i in range(4)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in extract.extract(frame).collect():
+        head = ["Head"] if "//a." in r.url else []
+        assert r.text.split("\n\n") == [*head, f"Text {r.page_id} of the page."] + ["Rare"] * (r.page_id == 0)
+
+
 def test_template_finds_the_container(spark):
     """Pages without an article: the container is what holds the hosts' text."""
     pages = [(i, "h", f"<body><div class=x1>top {i % 2}</div><div class=x2><p>{'text of the page ' * 30}{i}</p><p>end {i}</p></div>")
