@@ -72,11 +72,13 @@ def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple
 
 
 def canonical(value: str | None) -> str | None:
-    """A JSON text with sorted keys, without spaces; None if it is not JSON."""
+    """A JSON text with sorted keys, without spaces; a text that is not JSON as a JSON string."""
+    if value is None:
+        return None
     try:
         return json.dumps(json.loads(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    except (TypeError, ValueError, RecursionError):
-        return None
+    except (ValueError, RecursionError):
+        return json.dumps(value, ensure_ascii=False)
 
 
 def _object(**fields: Column) -> Column:
@@ -110,7 +112,8 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, boo
     call, all else by turn. ``status`` of a call is ``answered``, ``open`` (no result) or
     ``cycle``; of a result ``linked``, ``again`` (not the first by turn) or ``orphan``;
     of a plain message ``plain``. A null identifier links with nothing. Rows that repeat
-    all stay; ties are broken by role and text. Null texts give an empty content.
+    all stay; ties are broken by role and text. Null texts give an empty content. Arguments
+    that are not JSON are written as a JSON string.
     """
     rows = settle(messages.select("conv_id", "turn", "role", "text", "id", "name", "arguments", "after")
                   .withColumn("kind", F.when(F.col("name").isNotNull(), "call")

@@ -234,6 +234,11 @@ def test_chat(spark):
     assert len(got) == len(rows) and chat.format_chat(frame.limit(0), schemas).count() == 0
 
 
+def test_malformed_arguments_stay():
+    assert json.loads(chat.canonical('{"a": 1, "é')) == '{"a": 1, "é' and json.loads(chat.canonical("")) == ""
+    assert chat.canonical(None) is None and chat.canonical('{"b": 1, "a": null}') == '{"a":null,"b":1}'
+
+
 def test_long_chains_of_calls(spark):
     rows = [(c, i, f"c{i}", f"c{i - 1}" if i else None) for c in range(3) for i in range(70)]
     got = chat.depths(spark.createDataFrame(rows, "conv_id long, turn long, id string, after string")).collect()
