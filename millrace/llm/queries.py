@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, extract, jaccard, packing, quality, sentencepieces, sharding, toxicity, urls
+from . import (chat, decontaminate, embeddings, extract, jaccard, packing, phrases, prefix_trie, quality, sentencepieces,
+               sharding, toxicity, urls)
 from .common import settle, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,8 +225,111 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+LOWER_SQL = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({LOWER_SQL.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all({LOWER_SQL.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS g
+  FROM b, unnest(generate_series(1, greatest(len(w) - 9, 1))) x(i) WHERE len(w) > 0),
+pos AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT DISTINCT k FROM win), d, unnest(generate_series(1, len(w) - k + 1)) x(i)),
+hit AS (SELECT doc_id, i, k, item_id FROM pos JOIN win USING (k, g)),
+marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(generate_series(i, i + k - 1)) x(p) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=10, top=2000)
+
+
+COLLOCATIONS_SQL = rf"""
+WITH p AS (
+  SELECT lang, w FROM (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+      SELECT coalesce(lang, 'und') AS lang,
+             unnest(regexp_split_to_array({LOWER_SQL.format("text")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents))
+  WHERE len(w) > 0),
+f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (VALUES (1), (2), (3)) n(k), p, unnest(generate_series(1, len(w) - k + 1)) x(i) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k >= 2 AND f >= 10),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, j, l.f AS l, r.f AS r,
+         1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f) AS score
+  FROM cand c, unnest(generate_series(1, c.k - 1)) x(j), f l, f r
+  WHERE l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ')
+    AND r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longer
+  FROM cand, unnest(generate_series(1, 2)) x(i) WHERE k = 3 GROUP BY ALL),
+ranked AS (
+  SELECT best.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return prefix_trie.trie(prefix_trie.shared_openings(prefix_trie.sequences(turns)))
+
+
+# crc32 of a short text, by bit, as DuckDB has no such function.
+_CRC_SQL = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(CAST({0} AS VARCHAR))),
+  lambda i: ord(substr(CAST({0} AS VARCHAR), i + 1, 1))::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END))"""
+
+TRIE_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST,
+    md5(CAST(octet_length(CAST(encode(coalesce(role, '')) AS BLOB)) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, xor({_CRC_SQL.format("conv_id")}, 4294967295::BIGINT) % 4 AS h FROM t),
+seq AS (
+  SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h.h], h.turns[h.h + 1:]) AS s
+  FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 20),
+member AS (SELECT conv_id, d, s[1:d] AS path, s[d] AS last, len(s) = d AS ends FROM seq, unnest(generate_series(0, len(s))) x(d)),
+node AS (
+  SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         len(regexp_extract_all(coalesce(any_value(last).text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ends
+  FROM member GROUP BY path, d),
+child AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+known AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (path, depth)),
+below AS (
+  SELECT path[1:d] AS path, d AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM known, unnest(generate_series(0, depth)) x(d) GROUP BY ALL)
+SELECT k.conv_id, CAST(k.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children,
+       CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM known k JOIN below b ON b.path = k.path AND b.depth = k.depth
+LEFT JOIN known p ON k.depth > 0 AND p.depth = k.depth - 1 AND p.path = k.path[1:k.depth - 1]
+"""
+
+
 QUERIES = (op1_best_fit_packing, op2_toxicity, op3_sentencepiece, op4_ngram_jaccard_join, op5_embedding_near_dedup,
-           op6_url_filters, op7_quality_rules, op8_html_extraction, op9_chat_formatting, op10_sharding)
+           op6_url_filters, op7_quality_rules, op8_html_extraction, op9_chat_formatting, op10_sharding,
+           op11_benchmark_decontamination, op12_phrase_collocations, op13_conversation_prefix_trie)
 
 
 def queries() -> dict[str, Query]:
@@ -233,4 +337,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": JACCARD_SQL, "op6_url_filters": URLS_SQL, "op7_quality_rules": _quality_sql()}
+    return {"op4_ngram_jaccard_join": JACCARD_SQL, "op6_url_filters": URLS_SQL, "op7_quality_rules": _quality_sql(),
+            "op11_benchmark_decontamination": DECONTAMINATION_SQL, "op12_phrase_collocations": COLLOCATIONS_SQL,
+            "op13_conversation_prefix_trie": TRIE_SQL}
