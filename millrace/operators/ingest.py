@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import payload as P
 from ..functions.columns import once
@@ -61,16 +61,25 @@ def fan_out(valid: DataFrame) -> DataFrame:
         "message_id", "content_type", "body", "received_at")
 
 
+def _fields(text: Column) -> Column:
+    return P.enriched_fields(
+        P.parse_object(text), ts=F.col("received_at"), key=F.col("message_key"),
+        message_id=F.col("message_id"),
+        retention=F.when(F.col("cfg.has_batch"), F.col("cfg.retention")),
+        org=F.col("org"), topic=F.col("topic"))
+
+
 def enrich(valid: DataFrame) -> DataFrame:
     """Parse bodies bound for lake or store; ``fields`` is null when the body is
     not a JSON object."""
     wanted = valid.where(F.col("cfg.has_batch") | F.col("cfg.store").isNotNull())
-    fields = P.parse_object(P.decode_body(F.col("body"), F.col("content_type")))
-    return once(wanted, "fields", P.enriched_fields(
-        fields, ts=F.col("received_at"), key=F.col("message_key"),
-        message_id=F.col("message_id"),
-        retention=F.when(F.col("cfg.has_batch"), F.col("cfg.retention")),
-        org=F.col("org"), topic=F.col("topic")))
+    return once(wanted, "fields", _fields(P.decode_body(F.col("body"), F.col("content_type"))))
+
+
+def with_fields(validated: DataFrame, wanted: Column) -> DataFrame:
+    """The same for all messages in place: ``fields`` is null where not ``wanted``, too."""
+    text = F.when(wanted, P.decode_body(F.col("body"), F.col("content_type")))
+    return once(validated, "fields", _fields(text))
 
 
 def lake_lines(enriched: DataFrame) -> DataFrame:

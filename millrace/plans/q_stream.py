@@ -16,7 +16,7 @@ from ..sources.lake import read_lake
 from ..sources.messages import read_messages
 from ..streaming import ingest as SI
 from ..streaming import processor as SP
-from ..streaming.dedup import DedupSink, read_accepted
+from ..streaming.dedup import read_accepted, start_dedup
 from ..streaming.state import read_state, state_stream
 from .q_sql import table_loaders
 from .q_state import FOLDS, OPS, PIVOT
@@ -76,7 +76,9 @@ FROM messages GROUP BY ALL""")
 def stream_ingest(spark, sf):
     """All destinations from one stream of messages; counts per destination."""
     base, cp = scratch_path(spark, "ingest"), scratch_path(spark, "cp")
-    SI.finish(SI.start_ingest(message_stream(spark, sf), derived.topics(spark), base, cp, AVAILABLE))
+    with state_partitions(spark):
+        query = SI.start_ingest(message_stream(spark, sf), derived.topics(spark), base, cp, AVAILABLE)
+    query.awaitTermination()
     lake = read_lake(spark, f"{base}/lake", "event_id long").select(
         F.lit("lake").alias("dest"), F.col("organization").alias("org"), "topic")
     store = read_kv(spark, f"{base}/store").select(F.lit("store").alias("dest"), "org", "topic")
@@ -98,8 +100,9 @@ UNION ALL SELECT 'rejects', org, topic, count(*) FROM (SELECT org, topic FROM va
 def stream_dedup(spark, sf):
     out, cp = scratch_path(spark, "dedup"), scratch_path(spark, "cp")
     fanned = I.fan_out(I.accepted(I.validate(message_stream(spark, sf), derived.topics(spark))))
-    (fanned.writeStream.foreachBatch(DedupSink(out)).option("checkpointLocation", cp)
-     .trigger(**AVAILABLE).start().awaitTermination())
+    with state_partitions(spark):
+        query = start_dedup(fanned, out, cp, AVAILABLE)
+    query.awaitTermination()
     return read_accepted(spark, out).select("org", "stream", "message_key", "seq", epoch_ms("received_at"))
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import once
 from ..functions.lakekey import parse_lake_key
 from ..schemas import LAKE_PARTITIONS, META_ORG, META_RETENTION, META_TOPIC
-from ..session import child_names
+from ..session import child_names, delete_path, move_path
 
 # fixed value: result type under which unroutable records are kept
 EXTRACTION_FAILED = "metadata-extraction-failed"
 MAX_RECORDS_PER_FILE = 1_000_000
+MOVES = 16   # files that the driver renames at a time
 
 
 def _time_parts(ts: Column) -> list[Column]:
@@ -48,6 +51,39 @@ def write_lake(df: DataFrame, path: str) -> None:
      .text(path))
 
 
+def write_lake_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """The same for a numbered batch, which may be written again: its files are made
+    aside and then moved to their folders, under names that hold the batch's number, in
+    place of those that an earlier try has moved."""
+    spark = df.sparkSession
+    aside = f"{path}/_aside/batch={batch_id}"
+    parts = with_partitions(df).where(routable())
+    (parts.drop("received_at").hint("rebalance", *LAKE_PARTITIONS)
+     .write.mode("overwrite").partitionBy(*LAKE_PARTITIONS)
+     .option("compression", "gzip").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+     .text(aside))
+    if not any(n.startswith("retention=") for n in child_names(spark, aside)):
+        delete_path(spark, aside)
+        return
+    # as many rows as the batch has files
+    made = [r[0] for r in spark.read.format("binaryFile").load(aside).select(_relative(aside)).orderBy("key").collect()]
+    name = f"batch-{batch_id}-"
+
+    def clear(folder: str) -> None:
+        for old in child_names(spark, f"{path}/{folder}"):
+            if old.startswith(name):
+                delete_path(spark, f"{path}/{folder}/{old}")
+
+    def move(numbered: tuple[int, str]) -> None:
+        i, key = numbered
+        move_path(spark, f"{aside}/{key}", f"{path}/{key.rsplit('/', 1)[0]}/{name}{i:05d}.txt.gz")
+
+    with ThreadPoolExecutor(MOVES) as pool:
+        list(pool.map(clear, sorted({k.rsplit("/", 1)[0] for k in made})))
+        list(pool.map(move, enumerate(made)))
+    delete_path(spark, aside)
+
+
 def error_path(path: str) -> str:
     return f"{path}/retention=DAY/error"
 
@@ -124,14 +160,14 @@ def read_lines(spark: SparkSession, path: str, org: str | None = None,
 def _relative(path: str) -> Column:
     """The key below the lake's root, whatever the file system prefix."""
     root = path.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
-    return F.substring_index(F.col("path"), root, -1)
+    return F.substring_index(F.col("path"), root, -1).alias("key")
 
 
 def all_files(spark: SparkSession, path: str, org: str | None = None,
               topic: str | None = None) -> DataFrame:
     """Inventory without file contents: key, size, last modified."""
     return (_load(spark, path, spark.read.format("binaryFile"), org, topic)
-            .select(_relative(path).alias("key"), F.col("length").alias("size"),
+            .select(_relative(path), F.col("length").alias("size"),
                     F.col("modificationTime").alias("last_modified")))
 
 

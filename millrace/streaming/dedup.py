@@ -1,94 +1,114 @@
-"""The interval dedup rule over micro-batches.
+"""The interval dedup rule over a stream.
 
-Each micro-batch first loses the copies less than one interval from a copy accepted
-earlier, before or after it in time; what remains starts fresh chains and goes through
-the batch operator, so a hot id is spread out here too. The accepted times of an id are
-a table below the output folder, one version per micro-batch. Running a batch again
-reads the version before it and replaces its own output.
+The accepted times of an id are keyed state, so a micro-batch reads and writes the ids
+it holds and no others. Only ids and times pass through the state operator: it marks
+which rows are accepted, and the rows themselves meet their marks inside the micro-batch.
 
-A delivered copy cannot be recalled. Where copies arrive in order of time the result is
-that of the batch operator; out of order, no two accepted copies are less than an
-interval apart, and every refused copy is less than an interval from an accepted one.
+A copy less than one interval from a copy accepted earlier, before or after it in time,
+is refused; so is one less than an interval after the copy accepted before it in its own
+micro-batch. A delivered copy cannot be recalled: where copies arrive in order of time the
+result is that of the batch operator; out of order, no two accepted copies are less than
+an interval apart, and every refused copy is less than an interval from an accepted one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from ..operators.dedup import GROUP, dedup, interval_ms, with_cell
-from ..operators.skew import salted_join
-from ..session import adaptive, child_names, delete_path
-
-
-class DedupSink:
-    """Use with ``writeStream.foreachBatch``. Accepted rows are found below
-    ``path/accepted``. An id's accepted times are remembered for ``keep`` before its own
-    latest one, and the id for ``batches`` micro-batches after the last that accepted a
-    copy; other ids and their clocks play no part. Later copies are delivered."""
-
-    def __init__(self, path: str, interval: str = "5 minutes", keep: str = "24 hours", batches: int = 10_000):
-        self.path, self.interval = path, interval
-        self.width = interval_ms(interval)
-        self.keep = max(interval_ms(keep), self.width)
-        self.batches = batches
-
-    def __call__(self, df: DataFrame, batch_id: int) -> None:
-        df = df.persist()   # read more than once; its size is that of one micro-batch
+from bisect import bisect_left
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.dedup import GROUP, interval_ms, with_cell
+
+MARK = ["org", "stream", "seq"]
+
+
+class AcceptTimes(StatefulProcessor):
+    """Marks the accepted copies of an id. Its accepted times are kept while less than
+    ``keep_ms`` older than the latest, and forgotten altogether when none was accepted
+    for that long, by the clock of the micro-batches: a replay forgets later, and no copy
+    is ever too late to be looked at."""
+
+    def __init__(self, width_ms: int, keep_ms: int):
+        self.width, self.keep = width_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.store = handle
+        self.times = handle.getValueState("times", "at array<long>, until_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.times.get()
+        known, fresh = sorted(held[0]) if held else [], []
+        # an id's rows of one micro-batch, without their bodies
+        now = 0
+        for row in sorted(rows, key=lambda r: (r.received_at, r.seq)):
+            now = row.now_ms
+            if fresh and row.t - fresh[-1] < self.width:
+                continue
+            i = bisect_left(known, row.t)
+            if any(abs(row.t - x) < self.width for x in known[max(i - 1, 0):i + 1]):
+                continue
+            fresh.append(row.t)
+            yield Row(org=key[0], stream=key[1], seq=row.seq)
+        if fresh:
+            latest = max(known[-1:] + fresh)
+            self.times.update(([x for x in sorted(known + fresh) if x > latest - self.keep], now + self.keep))
+            if not held:
+                self.store.registerTimer(now + self.keep)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.times.get()
+        if held and held[1] > expiredTimerInfo.getExpiryTimeInMs():
+            self.store.registerTimer(held[1])   # accepted more since: an id has one timer
+        else:
+            self.times.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def accepted_marks(rows: DataFrame, interval: str = "5 minutes", keep: str = "24 hours") -> DataFrame:
+    """``org, stream, seq`` of the accepted rows of a stream. An id's accepted times are
+    remembered for ``keep``, at least one interval; later copies are delivered."""
+    width = interval_ms(interval)
+    now = F.current_timestamp()   # one value for a micro-batch
+    light = (with_cell(rows).select(*GROUP, "t", "received_at", "seq", now.alias("now"), F.unix_millis(now).alias("now_ms"))
+             .withWatermark("now", "0 seconds"))
+    return light.groupBy(*GROUP).transformWithState(
+        AcceptTimes(width, max(interval_ms(keep), width)), "org string, stream string, seq long", "Append", "EventTime")
+
+
+def deliver(rows: DataFrame, marks: DataFrame, path: str, batch_id: int) -> None:
+    """Write a micro-batch's accepted rows below ``path/accepted``, in place of what an
+    earlier run of it has written."""
+    chosen = rows.join(marks, MARK, "left_semi").dropDuplicates(MARK)
+    chosen.write.mode("overwrite").partitionBy("org", "stream").parquet(f"{path}/accepted/batch={batch_id}")
+
+
+def start_dedup(rows: DataFrame, path: str, checkpoint: str, trigger: dict, interval: str = "5 minutes",
+                keep: str = "24 hours") -> StreamingQuery:
+    """Deliver a stream's accepted rows below ``path``."""
+    marks = accepted_marks(rows, interval, keep)
+    both = rows.withColumn("_mark", F.lit(False)).unionByName(
+        marks.withColumn("_mark", F.lit(True)), allowMissingColumns=True)
+
+    def take(df: DataFrame, batch_id: int) -> None:
+        df = df.persist()   # the state operator must not run twice; its size is that of one micro-batch
         try:
-            with adaptive(df.sparkSession):
-                self._take(df, batch_id)
+            deliver(df.where("not _mark").drop("_mark"), df.where("_mark").select(*MARK), path, batch_id)
         finally:
             df.unpersist()
 
-    def _take(self, df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        known = self._known(spark, batch_id)
-        fresh = df
-        if known is not None:
-            late = salted_join(with_cell(df), known, GROUP)
-            close = F.exists("times", lambda x: F.abs(F.col("t") - x) < self.width)
-            fresh = late.where(F.col("times").isNull() | ~close)
-        out = f"{self.path}/accepted/batch={batch_id}"
-        (dedup(fresh.select(*df.columns), self.interval)
-         .write.mode("overwrite").partitionBy("org", "stream").parquet(out))
-        self._remember(spark, out, known, batch_id)
-
-    def _versions(self, spark: SparkSession) -> list[int]:
-        names = child_names(spark, f"{self.path}/known")
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
-
-    def _known(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        earlier = [v for v in self._versions(spark) if v < batch_id]
-        return spark.read.parquet(f"{self.path}/known/version={earlier[-1]}") if earlier else None
-
-    def _remember(self, spark: SparkSession, out: str, known: DataFrame | None, batch_id: int) -> None:
-        if not any(n.startswith("org=") for n in child_names(spark, out)):
-            if known is not None:   # nothing accepted: the table stays as it is
-                known.write.mode("overwrite").parquet(f"{self.path}/known/version={batch_id}")
-            return
-        new = with_cell(read_accepted_batch(spark, out)).select(
-            *GROUP, F.array("t").alias("times"), F.lit(batch_id).cast("long").alias("seen"))
-        if known is not None:
-            new = new.unionByName(known)
-        # an id's times lie at least an interval apart, so keep / interval of them at most
-        merged = new.groupBy(*GROUP).agg(
-            F.array_distinct(F.flatten(F.collect_list("times"))).alias("times"), F.max("seen").alias("seen"))
-        recent = F.filter("times", lambda x: x > F.array_max("times") - self.keep)
-        (merged.where(F.col("seen") >= batch_id - self.batches).withColumn("times", recent)
-         .write.mode("overwrite").parquet(f"{self.path}/known/version={batch_id}"))
-        for v in self._versions(spark):
-            if v < batch_id - 1:
-                delete_path(spark, f"{self.path}/known/version={v}")
+    return both.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 _ROW = ("seq long, topic string, message_key string, message_id string, content_type string, "
         "body binary, received_at timestamp, org string, stream string")
 
 
-def read_accepted_batch(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(_ROW).parquet(out)
-
-
 def read_accepted(spark: SparkSession, path: str) -> DataFrame:
     """All accepted rows of all micro-batches."""
     return (spark.read.schema(_ROW + ", batch long").parquet(f"{path}/accepted").drop("batch"))

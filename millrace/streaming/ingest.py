@@ -1,8 +1,10 @@
-"""Streaming ingest: one query per destination, each with its own checkpoint.
+"""Streaming ingest: one query takes every message to all its destinations.
 
-Destinations fail and catch up independently. The lake and the rejects use the
-file sink, which commits each micro-batch's files exactly once; the store and
-the streams replace the folder of a micro-batch when it is run again.
+A message is checked and its body parsed once; the micro-batch is kept while the lake,
+the store, the streams and the rejects are written from it. Every destination writes a
+micro-batch under its number, in place of what an earlier run of the same micro-batch
+has left: a run that is killed at any point is repeated to the same result. A marker,
+written last, says that all have it.
 """
 
 from __future__ import annotations
@@ -11,71 +13,72 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest as I
-from ..schemas import LAKE_PARTITIONS
-from ..session import adaptive
+from ..session import adaptive, child_names, put_text
 from ..sources.kv import upsert_kv
-from ..sources.lake import MAX_RECORDS_PER_FILE, routable, with_partitions
-from .dedup import DedupSink
+from ..sources.lake import write_lake_batch
+from .dedup import accepted_marks, deliver
 
 # fixed value: seconds after which buffered records are written
 LAKE_TRIGGER = {"processingTime": "900 seconds"}
 
+DESTINATIONS = ("lake", "store", "streams", "rejects")
+_MARKED = "_mark"
 
-def _spread(df: DataFrame, cols: list[str], files_per_folder: int) -> DataFrame:
-    """Bring a folder's rows together, a busy folder over several tasks."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_folder))
-    return df.repartition(*cols, salt)
 
-
-def start_lake(msgs: DataFrame, topics: DataFrame, path: str, checkpoint: str, trigger: dict,
-               files_per_folder: int = 4) -> StreamingQuery:
-    lines = I.lake_lines(I.enrich(I.accepted(I.validate(msgs, topics))))
-    parts = with_partitions(lines).where(routable()).drop("received_at")
-    return (_spread(parts, LAKE_PARTITIONS, files_per_folder)
-            .writeStream.format("text").partitionBy(*LAKE_PARTITIONS)
-            .option("path", path).option("checkpointLocation", checkpoint)
-            .option("compression", "gzip").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-            .trigger(**trigger).start())
-
-
-def start_rejects(msgs: DataFrame, topics: DataFrame, path: str, checkpoint: str,
-                  trigger: dict) -> StreamingQuery:
+def parsed_once(msgs: DataFrame, topics: DataFrame) -> DataFrame:
+    """Every message with its verdict and, where lake or store want it, its fields."""
     validated = I.validate(msgs, topics)
-    return (I.rejects(validated, I.enrich(I.accepted(validated)))
-            .writeStream.format("parquet").option("path", path)
-            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
-
-
-def start_store(msgs: DataFrame, topics: DataFrame, path: str, checkpoint: str,
-                trigger: dict) -> StreamingQuery:
-    items = I.store_items(I.enrich(I.accepted(I.validate(msgs, topics))))
-
-    def upsert(df: DataFrame, batch: int) -> None:
-        with adaptive(df.sparkSession):
-            upsert_kv(df, path, batch)
-
-    return (items.writeStream.foreachBatch(upsert)
-            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
-
-
-def start_streams(msgs: DataFrame, topics: DataFrame, path: str, checkpoint: str, trigger: dict,
-                  interval: str = "5 minutes") -> StreamingQuery:
+    usable = F.col("reject").isNull() & (F.col("cfg.has_batch") | F.col("cfg.store").isNotNull())
+    return I.with_fields(validated, usable)
+
+
+class IngestSink:
+    """Use with ``writeStream.foreachBatch`` on ``parsed_once`` rows (``_mark`` false)
+    together with the marks of accepted stream copies (``_mark`` true)."""
+
+    def __init__(self, base: str):
+        self.base = base
+
+    def __call__(self, df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        done = f"{self.base}/_batches"
+        if str(batch_id) in child_names(spark, done):
+            return
+        df = df.persist()   # read for each destination; its size is that of one micro-batch
+        try:
+            with adaptive(spark):
+                rows = df.where(~F.col(_MARKED)).drop(_MARKED)
+                for name in DESTINATIONS:
+                    if name == "streams":
+                        marks = df.where(_MARKED).select("org", "stream", "seq")
+                        deliver(I.fan_out(I.accepted(rows)), marks, f"{self.base}/streams", batch_id)
+                    else:
+                        getattr(self, name)(rows, batch_id)
+            put_text(spark, f"{done}/{batch_id}", "")
+        finally:
+            df.unpersist()
+
+    def lake(self, rows: DataFrame, batch_id: int) -> None:
+        write_lake_batch(I.lake_lines(I.accepted(rows)), f"{self.base}/lake", batch_id)
+
+    def store(self, rows: DataFrame, batch_id: int) -> None:
+        upsert_kv(I.store_items(I.accepted(rows)), f"{self.base}/store", batch_id)
+
+    def rejects(self, rows: DataFrame, batch_id: int) -> None:
+        wanted = I.accepted(rows).where(F.col("cfg.has_batch") | F.col("cfg.store").isNotNull())
+        I.rejects(rows, wanted).write.mode("overwrite").parquet(f"{self.base}/rejects/batch={batch_id}")
+
+
+def start_ingest(msgs: DataFrame, topics: DataFrame, base: str, checkpoint: str, trigger: dict | None = None,
+                 interval: str = "5 minutes", keep: str = "24 hours") -> StreamingQuery:
+    """Start ingest into ``lake``, ``store``, ``streams`` and ``rejects`` below ``base``.
+
+    A message's ``seq`` names it: copies with one ``seq`` are delivered once. The state
+    of the dedup sees ids and times only; for that the stream's topics are looked up a
+    second time, but no body is parsed again."""
     fanned = I.fan_out(I.accepted(I.validate(msgs, topics)))
-    return (fanned.writeStream.foreachBatch(DedupSink(path, interval))
-            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
-
-
-def start_ingest(msgs: DataFrame, topics: DataFrame, base: str, checkpoint: str,
-                 trigger: dict | None = None) -> list[StreamingQuery]:
-    """Start all destinations below ``base``: ``lake``, ``rejects``, ``store``,
-    ``streams``."""
-    trigger = trigger or LAKE_TRIGGER
-    starts = {"lake": start_lake, "rejects": start_rejects, "store": start_store, "streams": start_streams}
-    return [start(msgs, topics, f"{base}/{name}", f"{checkpoint}/{name}", trigger)
-            for name, start in starts.items()]
-
-
-def finish(queries: list[StreamingQuery]) -> None:
-    """Wait for queries that end by themselves and raise what failed."""
-    for q in queries:
-        q.awaitTermination()
+    marks = accepted_marks(fanned, interval, keep)
+    rows = parsed_once(msgs, topics).withColumn(_MARKED, F.lit(False))
+    both = rows.unionByName(marks.withColumn(_MARKED, F.lit(True)), allowMissingColumns=True)
+    return (both.writeStream.foreachBatch(IngestSink(base)).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or LAKE_TRIGGER)).start())

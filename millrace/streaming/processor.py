@@ -57,12 +57,16 @@ def key_scope(task: str) -> Column:
 
 
 def stateful(messages: DataFrame, scope: Column, handler: Callable[[StateEntry, Row], list[Row]],
-             output: str = OUTPUT_DDL, ttl_sec: int | None = None) -> DataFrame:
+             output: str = OUTPUT_DDL, ttl_sec: int | None = None, lateness: str = "0 seconds") -> DataFrame:
     """Run ``handler`` for each message in order, with the state of its scope.
-    Messages need ``seq`` and ``received_at``."""
+    Messages need ``seq`` and ``received_at``. With ``ttl_sec`` a scope's state ends that
+    long, in event time, after its latest message; messages later than ``lateness`` are
+    left out then."""
+    if ttl_sec:
+        messages = messages.withWatermark("received_at", lateness)
     rows = messages.withColumn("state_key", scope).withColumn("at_us", F.unix_micros("received_at"))
     return rows.groupBy("state_key").transformWithState(
-        KeyedProcessor(handler, ttl_sec), output, "Append", "ProcessingTime" if ttl_sec else "None")
+        KeyedProcessor(handler, ttl_sec), output, "Append", "EventTime" if ttl_sec else "None")
 
 
 def last_value(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
