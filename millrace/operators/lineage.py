@@ -3,12 +3,19 @@
 The searches run on the two-sided graph task -> queue -> task. It has one edge
 per declared input or output, so a queue with many writers and readers never
 turns into all their pairs. Orgs whose graph fits a task, by a checked number
-of edges, are searched in one grouped pass. Larger ones take rounds of joins
-and aggregates over the edge list, checkpointed, up to the fix point.
+of edges, are searched in one grouped pass.
+
+Larger ones are searched by joins over the edge list, in rounds. First what needs no
+search goes: nodes without a way in or out, and chains, that is runs of nodes with one
+way in and one way out. A chain of any length becomes one edge by pointer doubling; a
+chain that closes on itself is a cycle found. What stays is searched forward and backward
+from many nodes at once; the groups found go, and so on until nothing is left.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -17,6 +24,14 @@ from .smallgraph import cyclic_groups, shortest_return
 
 # an org's graph up to this many edges is searched inside one task
 SMALL_EDGES = 200_000
+# rows of one key that a task takes without salting
+FEW = 10_000
+
+
+def _spread_join(many: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with at most one row of ``one`` per key, salted where a key needs it."""
+    hot = cut_lineage(hot_keys(many, keys, least=FEW))
+    return many.join(one, keys) if hot.isEmpty() else salted_join(many, one, keys, "inner", hot=hot)
 
 
 def edges(tasks: DataFrame) -> DataFrame:
@@ -47,7 +62,7 @@ class _Graph:
         self.hot = hot or {on: self._hot(on) for on in ("src", "dst")}
 
     def _hot(self, on: str) -> DataFrame | None:
-        hot = cut_lineage(hot_keys(self.edges, ["org", on]))
+        hot = cut_lineage(hot_keys(self.edges, ["org", on], least=FEW))
         return None if hot.isEmpty() else hot
 
     def join(self, nodes: DataFrame, on: str, how: str, edges: DataFrame | None = None) -> DataFrame:
@@ -73,17 +88,14 @@ class _Graph:
     def ends(self, on: str) -> DataFrame:
         return self.edges.select("org", F.col(on).alias("node")).distinct()
 
-    def trim(self) -> "_Graph":
-        """Drop edges whose start has no way in or whose end has no way out, until
-        none is left to drop. No edge of a cycle is ever dropped."""
-        graph, n = self, self.edges.count()
-        while n:
-            kept = graph.join(graph.ends("dst"), "src", "left_semi")
-            graph = graph.replace(graph.join(graph.ends("src"), "dst", "left_semi", kept))
-            n, before = graph.edges.count(), n
-            if n == before:
-                break
-        return graph
+    def nodes(self) -> DataFrame:
+        """Every node with its ways in and out and whether one leads to itself."""
+        def side(on: str, i: int, o: int) -> DataFrame:
+            own = F.col("src") == F.col("dst")
+            return self.edges.select("org", F.col(on).alias("node"), own.alias("own"),
+                                     F.when(own, 0).otherwise(i).alias("i"), F.when(own, 0).otherwise(o).alias("o"))
+        return side("src", 0, 1).unionByName(side("dst", 1, 0)).groupBy("org", "node").agg(
+            F.sum("i").alias("ways_in"), F.sum("o").alias("ways_out"), F.bool_or("own").alias("own"))
 
     def greatest_color(self) -> DataFrame:
         """Each node with the greatest node name that reaches it."""
@@ -127,34 +139,97 @@ def cycle_groups(tasks: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     return found if large is None else found.unionByName(_large_groups(large))
 
 
+def _follow_chains(inner: DataFrame, from_inner: DataFrame) -> DataFrame:
+    """``org, node, last, end, top, inside`` for the nodes inside chains: the last node of
+    the chain, where its edge leads and the greatest name on the way. Pointers that meet
+    another inner node jump on by that one's pointer and so are twice as long after each
+    round. Those of a closed chain stay ``inside``; they are done when no ``top`` rises."""
+    ends = inner.select("org", F.col("node").alias("end"), F.lit(True).alias("inside"))
+    jumps = cut_lineage(from_inner.select(
+        "org", F.col("src").alias("node"), F.col("src").alias("last"), F.col("dst").alias("end"), F.col("src").alias("top"))
+        .join(ends, ["org", "end"], "left").withColumn("inside", F.coalesce("inside", F.lit(False))))
+    left = None
+    while True:
+        ahead = jumps.select("org", F.col("node").alias("end"), F.col("last").alias("last2"), F.col("end").alias("end2"),
+                             F.col("top").alias("top2"), F.col("inside").alias("inside2"))
+        on = jumps.where("inside").join(ahead, ["org", "end"]).select(
+            "org", "node", F.col("last2").alias("last"), F.col("end2").alias("end"),
+            F.greatest("top", "top2").alias("top"), F.col("inside2").alias("inside"), (F.col("top2") > F.col("top")).alias("rose"))
+        jumps = cut_lineage(on.unionByName(jumps.where("not inside").withColumn("rose", F.lit(False))))
+        now, rose = jumps.agg(F.count_if("inside"), F.count_if(F.col("inside") & F.col("rose"))).first()
+        # open chains lose nodes in every round: with none lost only closed ones are left
+        if now == 0 or (now == left and rose == 0):
+            return jumps
+        left = now
+
+
+def _contract(graph: _Graph) -> tuple[_Graph, DataFrame, DataFrame] | None:
+    """The graph with its chains as single edges and without closed ones; the closed
+    chains (``org, grp, node``); and the nodes inside the others, each with the ends of
+    its chain (``org, node, src, dst``). None when there is no chain."""
+    inner = cut_lineage(graph.nodes().where("ways_in = 1 and ways_out = 1 and not own").select("org", "node"))
+    if inner.isEmpty():
+        return None
+    jumps = _follow_chains(inner, graph.join(inner, "src", "left_semi"))
+    closed = jumps.where("inside").select("org", F.col("top").alias("grp"), "node")
+    rest = graph.join(inner, "src", "left_anti")
+    heads = graph.join(inner, "dst", "left_semi", rest).withColumnRenamed("dst", "node")
+    chains = cut_lineage(heads.join(jumps, ["org", "node"]).select("org", "src", F.col("end").alias("dst"), "last"))
+    members = cut_lineage(jumps.where("not inside").select("org", "node", "last").join(chains, ["org", "last"])
+                          .select("org", "node", "src", "dst"))
+    direct = graph.join(inner, "dst", "left_anti", rest)
+    return graph.replace(direct.unionByName(chains.select("org", "src", "dst")).distinct()), closed, members
+
+
+def _search(graph: _Graph) -> tuple[DataFrame, DataFrame]:
+    """Strongly connected nodes by colors: nodes take the greatest name that reaches
+    them; the nodes of one color that can reach its owner are the owner's group. Returns
+    ``org, color, node`` of all groups and of those that are cycles."""
+    colors = graph.greatest_color()
+    one_color = graph.join(colors.withColumnRenamed("color", "a"), "src", "inner")
+    one_color = graph.join(colors.withColumnRenamed("color", "b"), "dst", "inner", one_color)
+    same = graph.replace(one_color.where("a = b").select("org", "src", "dst", F.col("a").alias("color")))
+    group = cut_lineage(colors.where("color = node"))
+    n = group.count()
+    while True:
+        step = same.join(group.select("org", "node"), "dst", "inner").select(
+            "org", F.col("src").alias("node"), "color")
+        group = cut_lineage(group.unionByName(step).distinct())
+        n, before = group.count(), n
+        if n == before:
+            break
+    own = graph.edges.where("src = dst").select("org", F.col("src").alias("color"))
+    cyclic = group.groupBy("org", "color").agg(F.count("*").alias("n")).where("n > 1").select("org", "color").unionByName(own).distinct()
+    return group, group.join(cyclic, ["org", "color"], "left_semi")
+
+
 def _large_groups(graph_edges: DataFrame) -> DataFrame:
-    """The same by rounds over the distributed edge list.
-
-    Nodes take the greatest name that reaches them; the nodes of one color that
-    can reach its owner form that owner's group. Groups found are taken out and
-    the rest is trimmed and colored again.
-    """
-    graph = _Graph(graph_edges).trim()
-    found = graph_edges.limit(0).select("org", F.col("src").alias("grp"), F.col("src").alias("node"))
+    """The same by rounds over the distributed edge list."""
+    graph, inside = _Graph(graph_edges), []
+    found = [graph_edges.limit(0).select("org", F.col("src").alias("grp"), F.col("src").alias("node"))]
     while not graph.edges.isEmpty():
-        colors = graph.greatest_color()
-        one_color = graph.join(colors.withColumnRenamed("color", "a"), "src", "inner")
-        one_color = graph.join(colors.withColumnRenamed("color", "b"), "dst", "inner", one_color)
-        same = graph.replace(one_color.where("a = b").select("org", "src", "dst", F.col("a").alias("color")))
-        group = cut_lineage(colors.where("color = node"))
-        n = group.count()
-        while True:
-            step = same.join(group.select("org", "node"), "dst", "inner").select(
-                "org", F.col("src").alias("node"), "color")
-            group = cut_lineage(group.unionByName(step).distinct())
-            n, before = group.count(), n
-            if n == before:
-                break
-        sized = group.groupBy("org", "color").agg(F.count("*").alias("n")).where("n > 1")
-        found = found.unionByName(group.join(sized, ["org", "color"], "left_semi").select(
-            "org", F.col("color").alias("grp"), "node"))
-        graph = graph.without(group).trim()
-    return found
+        contracted = _contract(graph)
+        if contracted:
+            graph, closed, members = contracted
+            found.append(closed)
+            inside.append(members)
+        loose = cut_lineage(graph.nodes().where("ways_in = 0 or ways_out = 0"))
+        if not loose.isEmpty():
+            # alone but for a chain from itself to itself
+            found.append(loose.where("own").select("org", F.col("node").alias("grp"), "node"))
+            graph = graph.without(loose)
+        elif not contracted:
+            group, cyclic = _search(graph)
+            found.append(cyclic.select("org", F.col("color").alias("grp"), "node"))
+            graph = graph.without(group)
+    groups = cut_lineage(reduce(DataFrame.unionByName, found))
+    for members in reversed(inside):
+        # a chain lies on a cycle if both its ends lie on one
+        ends = _spread_join(members, groups.select("org", F.col("node").alias("src"), "grp"), ["org", "src"])
+        both = _spread_join(ends, groups.select("org", F.col("node").alias("dst"), F.col("grp").alias("grp2")), ["org", "dst"])
+        groups = cut_lineage(groups.unionByName(both.where("grp = grp2").select("org", "grp", "node")))
+    names = groups.groupBy("org", "grp").agg(F.max("node").alias("name"))
+    return _spread_join(groups, names, ["org", "grp"]).select("org", F.col("name").alias("grp"), "node")
 
 
 def _task_name(node: Column) -> Column:
@@ -200,17 +275,18 @@ def _large_returns(graph_edges: DataFrame, starts: DataFrame) -> DataFrame:
     shortest paths, until an org's start is reached again."""
     graph = _Graph(graph_edges)
     starts = starts.join(graph_edges.select("org").distinct(), "org", "left_semi").select("org", "start")
-    front = starts.select("org", F.col("start").alias("node"), F.array("start").alias("path"))
+    front = cut_lineage(starts.select("org", F.col("start").alias("node"), F.array("start").alias("path"), "start"))
     seen = front.select("org", "node").limit(0)
     done = front.select("org", "path").limit(0)
     while not front.isEmpty():
         reached = (graph.join(front, "src", "inner")
-                   .select("org", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-                   .groupBy("org", "node").agg(F.min("path").alias("path")))
-        reached = cut_lineage(salted_join(
-            reached.join(seen, ["org", "node"], "left_anti"), starts, ["org"], "inner"))
+                   .select("org", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), "start")
+                   .groupBy("org", "node").agg(F.min("path").alias("path"), F.any_value("start").alias("start")))
+        reached = cut_lineage(reached.join(seen, ["org", "node"], "left_anti"))
         closed = reached.where("node = start")
-        done = done.unionByName(closed.select("org", F.slice("path", 1, F.size("path") - 1).alias("path")))
-        front = salted_join(reached, closed.select("org"), ["org"], "left_anti").drop("start")
         seen = cut_lineage(seen.unionByName(reached.select("org", "node")))
+        front = reached
+        if not closed.isEmpty():
+            done = done.unionByName(closed.select("org", F.slice("path", 1, F.size("path") - 1).alias("path")))
+            front = cut_lineage(salted_join(reached, closed.select("org"), ["org"], "left_anti"))
     return done

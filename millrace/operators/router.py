@@ -33,8 +33,12 @@ def path_parts(raw_path: Column) -> Column:
 
 
 def lower_keys(m: Column) -> Column:
-    entries = F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]), e["value"]))
-    return F.map_from_entries(entries)
+    """Names in lower case; of several that differ in case only the first in byte
+    order (upper case before lower case) is kept."""
+    entries = F.array_sort(F.map_entries(m))
+    names = F.transform(entries, lambda e: F.lower(e["key"]))
+    return F.map_from_entries(F.transform(F.array_distinct(names), lambda n: F.struct(
+        n, F.element_at(entries, F.array_position(names, n).cast("int"))["value"])))
 
 
 def cookie_map(cookies: Column) -> Column:
@@ -63,10 +67,12 @@ def _matches(e: Endpoint) -> Column:
 
 
 def _params(e: Endpoint) -> Column:
+    """The path's parts come first where two parameters have one name."""
     pairs = [(p[1:-1], F.col("_path")[i]) for i, p in enumerate(e.parts) if p.startswith("{")]
     pairs += [(n, F.col("query")[n]) for n in e.query]
     pairs += [(n, F.col("_headers")[n.lower()]) for n in e.headers]
     pairs += [(n, F.col("_cookies")[n.lower()]) for n in e.cookies]
+    pairs = [p for i, p in enumerate(pairs) if p[0] not in [n for n, _ in pairs[:i]]]
     if not pairs:
         return F.create_map().cast("map<string,string>")
     return F.map_from_entries(F.array(*[F.struct(F.lit(n), v.cast("string")) for n, v in pairs]))

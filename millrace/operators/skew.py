@@ -8,12 +8,12 @@ HOT_SHARE = 1 / 256
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that own at least ``share`` of the rows. There are at most
+def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, least: int = 1) -> DataFrame:
+    """Keys that own at least ``share`` of the rows, and ``least`` rows. There are at most
     ``1 / share`` of them whatever the data, so the list may be broadcast."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
     total = counts.groupBy().agg(F.sum("n"))   # over the same exchange as the counts
-    return counts.where(F.col("n") >= F.ceil(total.scalar() * share)).select(*keys)
+    return counts.where(F.col("n") >= F.greatest(F.ceil(total.scalar() * share), F.lit(least))).select(*keys)
 
 
 def salted_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "left",

@@ -67,12 +67,17 @@ SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*)
   CAST(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE event_type = 'purchase') AS DOUBLE) AS spent
 FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'error') >= 10""")
 
-# estimates next to the exact figures, within 5 % of them
+# estimates next to the exact figures: distinct users within five standard errors,
+# percentiles by the rank that the estimate has, at the accuracy of one in 10,000
 SPARK["q_agg_approx"] = """
-SELECT event_type, abs(approx_count_distinct(user_id, 0.01) - count(DISTINCT user_id)) <= 0.05 * count(DISTINCT user_id) AS users,
-  abs(percentile_approx(value, 0.5) - percentile(value, 0.5)) <= 0.05 * percentile(value, 0.5) AS median,
-  abs(percentile_approx(value, 0.99) - percentile(value, 0.99)) <= 0.05 * percentile(value, 0.99) AS p99
-FROM events GROUP BY event_type"""
+WITH e AS (
+  SELECT event_type, approx_count_distinct(user_id, 0.01) AS users, percentile_approx(value, 0.5, 10000) AS median,
+    percentile_approx(value, 0.99, 10000) AS p99
+  FROM events GROUP BY event_type)
+SELECT event_type, abs(any_value(e.users) - count(DISTINCT user_id)) <= 0.05 * count(DISTINCT user_id) AS users,
+  count_if(value < median) <= 0.5001 * count(value) AND count_if(value <= median) >= 0.4999 * count(value) AS median,
+  count_if(value < p99) <= 0.9901 * count(value) AND count_if(value <= p99) >= 0.9899 * count(value) AS p99
+FROM events JOIN e USING (event_type) GROUP BY event_type"""
 CHECK["q_agg_approx"] = "SELECT event_type, true AS users, true AS median, true AS p99 FROM events GROUP BY event_type"
 
 # distinct types per user: five values at most

@@ -143,14 +143,6 @@ def get_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def move_path(spark: SparkSession, path: str, target: str) -> None:
-    source, to = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, target))
-    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(to.getParent())
-    if not fs.rename(source, to):
-        raise OSError(f"{path} could not be moved to {target}")
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

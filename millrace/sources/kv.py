@@ -17,7 +17,7 @@ from ..session import child_names, delete_path, get_text, put_text
 
 KEY = ["org", "pk", "sk"]
 ORDER = ["received_at", "seq"]
-BUCKETS = 256
+BUCKETS = 64
 
 
 def fold_kv(items: DataFrame) -> DataFrame:

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.columns import once
 from ..functions.lakekey import parse_lake_key
 from ..schemas import LAKE_PARTITIONS, META_ORG, META_RETENTION, META_TOPIC
-from ..session import child_names, delete_path, move_path
+from ..session import child_names, delete_path, put_text
 
 # fixed value: result type under which unroutable records are kept
 EXTRACTION_FAILED = "metadata-extraction-failed"
 MAX_RECORDS_PER_FILE = 1_000_000
-MOVES = 16   # files that the driver renames at a time
+DELETES = 16   # deletes at a time
 
 
 def _time_parts(ts: Column) -> list[Column]:
@@ -52,36 +52,27 @@ def write_lake(df: DataFrame, path: str) -> None:
 
 
 def write_lake_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """The same for a numbered batch, which may be written again: its files are made
-    aside and then moved to their folders, under names that hold the batch's number, in
-    place of those that an earlier try has moved."""
+    """The same for a numbered batch, which may be written again: its files bear the
+    batch's number, and a second try first removes what the first one has left in the
+    batch's folders."""
     spark = df.sparkSession
-    aside = f"{path}/_aside/batch={batch_id}"
+    name, begun = f"batch-{batch_id}", f"{path}/_begun"
     parts = with_partitions(df).where(routable())
+    if str(batch_id) in child_names(spark, begun):
+        folders = parts.select(F.concat_ws("/", *[F.concat(F.lit(f"{c}="), c) for c in LAKE_PARTITIONS])).distinct()
+
+        def clear(folder: str) -> None:
+            for old in child_names(spark, f"{path}/{folder}"):
+                if old.startswith(f"{name}-"):
+                    delete_path(spark, f"{path}/{folder}/{old}")
+
+        with ThreadPoolExecutor(DELETES) as pool:   # as many folders as one batch has
+            list(pool.map(clear, [r[0] for r in folders.collect()]))
+    put_text(spark, f"{begun}/{batch_id}", "")
     (parts.drop("received_at").hint("rebalance", *LAKE_PARTITIONS)
-     .write.mode("overwrite").partitionBy(*LAKE_PARTITIONS)
+     .write.mode("append").partitionBy(*LAKE_PARTITIONS).option("mapreduce.output.basename", name)
      .option("compression", "gzip").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-     .text(aside))
-    if not any(n.startswith("retention=") for n in child_names(spark, aside)):
-        delete_path(spark, aside)
-        return
-    # as many rows as the batch has files
-    made = [r[0] for r in spark.read.format("binaryFile").load(aside).select(_relative(aside)).orderBy("key").collect()]
-    name = f"batch-{batch_id}-"
-
-    def clear(folder: str) -> None:
-        for old in child_names(spark, f"{path}/{folder}"):
-            if old.startswith(name):
-                delete_path(spark, f"{path}/{folder}/{old}")
-
-    def move(numbered: tuple[int, str]) -> None:
-        i, key = numbered
-        move_path(spark, f"{aside}/{key}", f"{path}/{key.rsplit('/', 1)[0]}/{name}{i:05d}.txt.gz")
-
-    with ThreadPoolExecutor(MOVES) as pool:
-        list(pool.map(clear, sorted({k.rsplit("/", 1)[0] for k in made})))
-        list(pool.map(move, enumerate(made)))
-    delete_path(spark, aside)
+     .text(path))
 
 
 def error_path(path: str) -> str:

@@ -22,7 +22,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.dedup import GROUP, interval_ms, with_cell
 
-MARK = ["org", "stream", "seq"]
+# what names a copy: one message may arrive several times under its number
+MARK = ["org", "stream", "seq", "received_at"]
 
 
 class AcceptTimes(StatefulProcessor):
@@ -51,7 +52,7 @@ class AcceptTimes(StatefulProcessor):
             if any(abs(row.t - x) < self.width for x in known[max(i - 1, 0):i + 1]):
                 continue
             fresh.append(row.t)
-            yield Row(org=key[0], stream=key[1], seq=row.seq)
+            yield Row(org=key[0], stream=key[1], seq=row.seq, received_at=row.received_at)
         if fresh:
             latest = max(known[-1:] + fresh)
             self.times.update(([x for x in sorted(known + fresh) if x > latest - self.keep], now + self.keep))
@@ -71,14 +72,14 @@ class AcceptTimes(StatefulProcessor):
 
 
 def accepted_marks(rows: DataFrame, interval: str = "5 minutes", keep: str = "24 hours") -> DataFrame:
-    """``org, stream, seq`` of the accepted rows of a stream. An id's accepted times are
+    """``MARK`` columns of the accepted rows of a stream. An id's accepted times are
     remembered for ``keep``, at least one interval; later copies are delivered."""
     width = interval_ms(interval)
     now = F.current_timestamp()   # one value for a micro-batch
     light = (with_cell(rows).select(*GROUP, "t", "received_at", "seq", now.alias("now"), F.unix_millis(now).alias("now_ms"))
              .withWatermark("now", "0 seconds"))
     return light.groupBy(*GROUP).transformWithState(
-        AcceptTimes(width, max(interval_ms(keep), width)), "org string, stream string, seq long", "Append", "EventTime")
+        AcceptTimes(width, max(interval_ms(keep), width)), "org string, stream string, seq long, received_at timestamp", "Append", "EventTime")
 
 
 def deliver(rows: DataFrame, marks: DataFrame, path: str, batch_id: int) -> None:

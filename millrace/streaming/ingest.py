@@ -16,7 +16,7 @@ from ..operators import ingest as I
 from ..session import adaptive, child_names, put_text
 from ..sources.kv import upsert_kv
 from ..sources.lake import write_lake_batch
-from .dedup import accepted_marks, deliver
+from .dedup import MARK, accepted_marks, deliver
 
 # fixed value: seconds after which buffered records are written
 LAKE_TRIGGER = {"processingTime": "900 seconds"}
@@ -50,7 +50,7 @@ class IngestSink:
                 rows = df.where(~F.col(_MARKED)).drop(_MARKED)
                 for name in DESTINATIONS:
                     if name == "streams":
-                        marks = df.where(_MARKED).select("org", "stream", "seq")
+                        marks = df.where(_MARKED).select(*MARK)
                         deliver(I.fan_out(I.accepted(rows)), marks, f"{self.base}/streams", batch_id)
                     else:
                         getattr(self, name)(rows, batch_id)
@@ -73,9 +73,9 @@ def start_ingest(msgs: DataFrame, topics: DataFrame, base: str, checkpoint: str,
                  interval: str = "5 minutes", keep: str = "24 hours") -> StreamingQuery:
     """Start ingest into ``lake``, ``store``, ``streams`` and ``rejects`` below ``base``.
 
-    A message's ``seq`` names it: copies with one ``seq`` are delivered once. The state
-    of the dedup sees ids and times only; for that the stream's topics are looked up a
-    second time, but no body is parsed again."""
+    A message's ``seq`` and time name it: of rows with both equal one is delivered. The
+    state of the dedup sees ids and times only; for that the stream's topics are looked
+    up a second time, but no body is parsed again."""
     fanned = I.fan_out(I.accepted(I.validate(msgs, topics)))
     marks = accepted_marks(fanned, interval, keep)
     rows = parsed_once(msgs, topics).withColumn(_MARKED, F.lit(False))
