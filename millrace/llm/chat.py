@@ -12,6 +12,8 @@ conversation; a conversation is never gathered into one group.
 from __future__ import annotations
 
 import json
+import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,14 +73,30 @@ def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple
     return F.when(name.isNull(), F.array(F.lit("tool"))).otherwise(found)
 
 
+def _finite(text: str) -> float:
+    """A number of a JSON text; JSON has no infinite ones and no NaN."""
+    number = float(text)
+    if not math.isfinite(number):
+        raise ValueError(f"{text} is no JSON number")
+    return number
+
+
+def _text(value: object) -> str:
+    """JSON with sorted keys, without spaces. Half surrogate pairs, which no text may
+    hold, stay escaped."""
+    out = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m.group()):04x}", out)
+
+
 def canonical(value: str | None) -> str | None:
-    """A JSON text with sorted keys, without spaces; a text that is not JSON as a JSON string."""
+    """A JSON text with sorted keys, without spaces; a text that is not JSON, one with an
+    infinite number or NaN too, as a JSON string."""
     if value is None:
         return None
     try:
-        return json.dumps(json.loads(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        return _text(json.loads(value, parse_float=_finite, parse_constant=_finite))
     except (ValueError, RecursionError):
-        return json.dumps(value, ensure_ascii=False)
+        return _text(value)
 
 
 def _object(**fields: Column) -> Column:
