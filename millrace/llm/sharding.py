@@ -41,16 +41,21 @@ def communication_matrix(rows: list[int], shards: list[int], seed: int = SEED) -
 
 
 def _hypergeometric(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Good ones among n drawn without return. numpy draws below 10^9; beyond it the
-    normal law has the same figures to nine digits and is cut to the possible range."""
-    if bad == 0 or good == 0:
-        return n if bad == 0 else 0
-    if good + bad < 1_000_000_000:
-        return int(draw.hypergeometric(good, bad, n))
+    """Good ones among n drawn without return, by the exact law at any size: the chances
+    follow from each other by the ratio of neighbours, outwards from the likeliest number
+    to where less than one in 10^25 is left, and one uniform number picks among them."""
+    low, high = max(0, n - bad), min(good, n)
+    if low >= high:
+        return low
     total = good + bad
-    mean = n * (good / total)
-    var = mean * (bad / total) * ((total - n) / max(1, total - 1))
-    return int(min(max(round(draw.normal(mean, math.sqrt(var))), max(0, n - bad)), good, n))
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    reach = 50 + int(12 * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))))
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    step = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(float(bad - n) + k + 1)
+    logs = np.concatenate([np.zeros(1), np.cumsum(step)])
+    chances = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(chances, draw.random() * chances[-1], side="right"))
 
 
 def _places(df: DataFrame, group: list[str], by: list[str], name: str, ranges: int) -> DataFrame:

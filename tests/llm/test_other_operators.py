@@ -2,10 +2,12 @@
 
 import datetime as dt
 import json
+import math
 import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import chat, embeddings, extract, sharding, urls
@@ -239,12 +241,55 @@ def test_malformed_arguments_stay():
     assert chat.canonical(None) is None and chat.canonical('{"b": 1, "a": null}') == '{"a":null,"b":1}'
 
 
+def test_arguments_that_json_or_texts_cannot_hold(spark):
+    """Half surrogate pairs and numbers that are not finite."""
+    for text in ('{"t":"\\ud800"}', '{"\\udfff":["a\\ud83d"]}'):
+        out = chat.canonical(text)
+        assert out.encode() and json.loads(out) == json.loads(text)
+    assert chat.canonical('{"t":"\\ud83d\\ude42"}') == '{"t":"🙂"}'
+    for text in ('{"t":1e999}', '{"t":NaN}', "[-Infinity]"):
+        assert json.loads(chat.canonical(text)) == text
+    rows = [(1, i, "assistant", "x", f"c{i}", "f", a, None) for i, a in enumerate(
+        ['{"t":"\\ud800"}', '{"t":1e999}', '{"t":NaN}', '{"t":1e5}'])]
+    ddl = "conv_id long, turn long, role string, text string, id string, name string, arguments string, after string"
+    got = chat.format_chat(spark.createDataFrame(rows, ddl), {"f": {"t": ("number", True)}}).orderBy("turn").collect()
+    assert [bool(r.problems) for r in got] == [True, True, True, False]
+
+    def refuse(constant):
+        raise AssertionError(constant)
+    assert all(json.loads(r.json, parse_constant=refuse) for r in got)
+
+
 def test_long_chains_of_calls(spark):
     rows = [(c, i, f"c{i}", f"c{i - 1}" if i else None) for c in range(3) for i in range(70)]
     got = chat.depths(spark.createDataFrame(rows, "conv_id long, turn long, id string, after string")).collect()
     assert all(r.depth == r.latest == int(r.id[1:]) for r in got) and len(got) == 210
 
 
+@pytest.mark.parametrize("good,bad,n", [(5, 7, 6), (3, 40, 30), (60, 50, 20)])
+def test_draws_follow_the_exact_law(good, bad, n):
+    draw = np.random.default_rng(7)
+    got = np.bincount([sharding._hypergeometric(draw, good, bad, n) for _ in range(20_000)], minlength=n + 1)
+    law = np.array([math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(n + 1)])
+    assert (got[law == 0] == 0).all()
+    likely = law * 20_000 > 5
+    assert (((got - law * 20_000) ** 2)[likely] / (law * 20_000)[likely]).sum() < 60
+
+
+def test_draws_beyond_ten_to_the_nine():
+    """A few good ones among very many follow the binomial law, which a normal law does
+    not; large draws have the exact mean and variance."""
+    draw, good, total = np.random.default_rng(3), 3 * 10**9, 10**12
+    few = np.array([sharding._hypergeometric(draw, good, total - good, 400) for _ in range(20_000)])
+    law = np.array([math.comb(400, k) * 0.003**k * 0.997 ** (400 - k) for k in range(9)])
+    met = np.bincount(few, minlength=9)[:9] / len(few)
+    assert np.abs(met - law).max() < 0.012
+    n = 10**10
+    many = np.array([sharding._hypergeometric(draw, good, total - good, n) for _ in range(200)], dtype=float)
+    mean, var = n * 0.003, n * 0.003 * 0.997 * (total - n) / (total - 1)
+    assert abs(many.mean() - mean) < 5 * math.sqrt(var / 200) and 0.6 < many.var() / var < 1.5
+
+
 def test_matrix_is_exact():
     m = sharding.communication_matrix([5, 0, 17, 40], [21, 21, 20], seed=3)
     assert m.sum(axis=1).tolist() == [5, 0, 17, 40] and m.sum(axis=0).tolist() == [21, 21, 20] and (m >= 0).all()
