@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import LAKE_PARTITIONS, RETENTION_DAYS
 from ..session import child_names, delete_path
-from ..sources.lake import error_partitions, error_path, lake_partitions
+from ..sources.lake import DELETES, error_partitions, error_path, lake_partitions
 
 # fixed values: classes kept longer than this are tiered, after these ages
 TIERED_ABOVE_DAYS = 120
@@ -49,14 +52,16 @@ def expired_errors(spark: SparkSession, path: str, now: Column) -> DataFrame:
 def expire(spark: SparkSession, path: str, now: Column, dry_run: bool = True) -> DataFrame:
     """The expired folders; with ``dry_run=False`` they are deleted too, and with them
     the expired error records. Folder names are streamed through the driver, which is
-    where a file system delete is issued; no data passes. A lake that a stream writes
+    where file system deletes are issued, several at a time; no data passes. A lake that a stream writes
     through the file sink cannot be expired: its commit log would still name the files."""
     gone = expired_partitions(lake_partitions(spark, path), now).withColumn("path", partition_path(path))
     if not dry_run:
         if "_spark_metadata" in child_names(spark, path):
             raise ValueError("this lake is written by a file sink, whose log names its files")
-        for row in gone.select("path").unionByName(expired_errors(spark, path, now).select("path")).toLocalIterator():
-            delete_path(spark, row.path)
+        rows = gone.select("path").unionByName(expired_errors(spark, path, now).select("path")).toLocalIterator()
+        with ThreadPoolExecutor(DELETES) as pool:
+            while some := [row.path for row in islice(rows, 64 * DELETES)]:
+                list(pool.map(lambda folder: delete_path(spark, folder), some))
     return gone
 
 

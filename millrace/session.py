@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from datetime import datetime, timezone
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -120,6 +121,17 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in fs.listStatus(target)]
 
 
+def list_folder(spark: SparkSession, path: str) -> list[tuple[str, bool, int, datetime]]:
+    """What lies directly below a folder: name, whether it is a folder, size and time of
+    the last change; nothing when it does not exist."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return []
+    return [(s.getPath().getName(), s.isDirectory(), s.getLen(),
+             datetime.fromtimestamp(s.getModificationTime() / 1000, timezone.utc)) for s in fs.listStatus(target)]
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file as a whole: it appears under its name when complete."""
     jvm = spark._jvm

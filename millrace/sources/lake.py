@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import once
 from ..functions.lakekey import parse_lake_key
-from ..schemas import LAKE_PARTITIONS, META_ORG, META_RETENTION, META_TOPIC
-from ..session import child_names, delete_path, put_text
+from ..schemas import LAKE_PARTITIONS, META_ORG, META_RETENTION, META_TOPIC, small_df
+from ..session import child_names, delete_path, list_folder, put_text
 
 # fixed value: result type under which unroutable records are kept
 EXTRACTION_FAILED = "metadata-extraction-failed"
@@ -162,17 +164,32 @@ def all_files(spark: SparkSession, path: str, org: str | None = None,
                     F.col("modificationTime").alias("last_modified")))
 
 
+def _walk(spark: SparkSession, path: str, folder: str, start: str, after: str) -> Iterator[dict]:
+    """Files below a folder in key order whose key starts with ``start`` and lies behind
+    ``after``. A folder is listed when the walk reaches it, and only if it can hold one."""
+    found = list_folder(spark, f"{path}/{folder}")
+    for name, is_folder, size, changed in sorted(found, key=lambda c: c[0] + "/" * c[1]):
+        key = f"{folder}/{name}"
+        if name.startswith(("_", ".")):
+            continue
+        if is_folder:
+            below = f"{key}/"
+            behind = below > after or after.startswith(below)
+            if behind and (below.startswith(start) or start.startswith(below)):
+                yield from _walk(spark, path, key, start, after)
+        elif key > after and key.startswith(start):
+            yield dict(key=key, size=size, last_modified=changed)
+
+
 def lake_files(spark: SparkSession, path: str, org: str, topic: str, prefix: str | None = None,
                limit: int = 100, after: str | None = None) -> DataFrame:
-    """One page of a topic's files in key order; pass the last key as ``after``
-    for the next page. The page size is held within 1..1000."""
-    files = all_files(spark, path, org, topic)
-    if prefix:
-        below_topic = F.regexp_extract("key", r"/topic=[^/]+/(.*)$", 1)
-        files = files.where(below_topic.startswith(prefix))
-    if after:
-        files = files.where(F.col("key") > after)
-    return files.orderBy("key").limit(max(1, min(limit, 1000)))
+    """One page of a topic's files in key order; pass the last key as ``after`` for the
+    next page. The page size is held within 1..1000. Folders are walked in order from
+    there on, so the cost follows the page and not the topic."""
+    topics = [f"{r}/organization={org}/topic={topic}" for r in sorted(child_names(spark, path)) if r.startswith("retention=")]
+    files = (row for t in topics for row in _walk(spark, path, t, f"{t}/{prefix or ''}", after or ""))
+    page = list(islice(files, max(1, min(limit, 1000))))
+    return small_df(spark, page, "key string, size long, last_modified timestamp")
 
 
 def lake_partitions(spark: SparkSession, path: str) -> DataFrame:

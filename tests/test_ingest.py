@@ -156,6 +156,27 @@ def test_lake_roundtrip(spark, sf_dir, scratch):
     assert second[0].key > first[-1]
 
 
+def test_pages_walk_the_folders_in_key_order(spark, scratch, monkeypatch):
+    """All pages together are all files in order, and a page lists few folders."""
+    from millrace.sources import lake
+    path = scratch("lake")
+    line = '{"_ds_retention":"%s","_ds_organization":"o","_ds_topic":"%s"}'
+    write_lake(small_df(spark, [dict(line=line % (r, t), received_at=T0 + dt.timedelta(hours=7 * i))
+                                for i in range(40) for r, t in (("DAY", "a"), ("YEAR", "a"), ("DAY", "ab"))],
+                        "line string, received_at timestamp"), path)
+    listed = []
+    list_folder = lake.list_folder
+    monkeypatch.setattr(lake, "list_folder", lambda s, p: listed.append(p) or list_folder(s, p))
+    keys, after, most = [], None, 0
+    while page := [r.key for r in lake_files(spark, path, "o", "a", limit=7, after=after).collect()]:
+        keys, after, most, listed[:] = keys + page, page[-1], max(most, len(listed)), []
+    want = sorted(r.key for r in lake.all_files(spark, path, "o", "a").collect())
+    assert keys == want and len(keys) == 80 and most < 40
+    days = [r.key for r in lake_files(spark, path, "o", "a", prefix="year=2024/month=01/day=02/").collect()]
+    assert days == [k for k in want if "/day=02/" in k] and days
+    assert [r.key for r in lake_files(spark, path, "o", "none").collect()] == []
+
+
 def test_prefix_topics_and_malformed(spark, scratch):
     path = scratch("lake")
     line = '{"x":%d,"_ds_retention":"DAY","_ds_organization":"o","_ds_topic":"%s"}'
