@@ -147,6 +147,29 @@ def test_best_fit_against_plain():
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
 
 
+@pytest.mark.parametrize("kind", ["texts", "even", "halves", "thirds", "short"])
+def test_handing_on_few_bins_loses_nothing(monkeypatch, kind):
+    """Blocks that hand on 64 bins need as many sequences as blocks that hand on all."""
+    rng = np.random.default_rng(2)
+    capacity, blocks = packing.CAPACITY, []
+    for _ in range(10):
+        blocks.append({"texts": lambda: rng.lognormal(5.5, 1.2, 3000), "even": lambda: rng.integers(1, capacity, 2000),
+                       "halves": lambda: rng.integers(2000, 2500, 1500), "thirds": lambda: rng.integers(1200, 1500, 2000),
+                       "short": lambda: rng.integers(1, 60, 5000)}[kind]().astype(np.int64).clip(1, capacity))
+
+    def sequences(hand_on):
+        monkeypatch.setattr(packing, "HAND_ON", hand_on)
+        emitted, up = 0, []
+        for lengths in blocks:
+            fill = best_fit(lengths, capacity)[2]
+            done = packing._done(fill, capacity)
+            emitted += int(done.sum())
+            up.append(fill[~done])
+        return emitted + len(best_fit(np.concatenate(up), capacity)[2])
+
+    assert sequences(64) <= sequences(10**9) + 1
+
+
 def test_toxicity_on_held_out_labels(spark):
     d, sf = spark.read.parquet, "/root/testdata/sf0.1"
     docs, labels = d(f"{sf}/documents.parquet").select("doc_id", "text"), d(f"{sf}/labels.parquet")
