@@ -18,8 +18,13 @@ filters and every pair that meets is verified by its exact cosine.
 
 Equal vectors are one node. Caps are cut into blocks of ``BLOCK`` nodes and verified
 block by block, so a cap of any size is many tasks. A task returns, for each node, how
-many links it found and one link to its group there: never the pairs themselves. A
-pair that shares several filters is counted in the smallest of them.
+many links it found and one link to its group there: never the pairs themselves.
+
+A pair that shares several filters belongs to the smallest of them. Only the vectors
+move; a task decodes anew those that have a near one, and takes off the pairs that share
+a smaller filter by products of 0/1 matrices, the most frequent filters first, so a
+cluster of near copies costs one product in nearly all its caps. Decoding is exact (whole
+numbers in doubles), so all tasks agree on a vector's filters.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import salted_join
 from .common import settle
 from .components import components
 
@@ -42,6 +48,8 @@ FOLLOW = 0.1     # of a vector's caps that hold a vector at the limit, at least
 TRIALS = 2000    # random pairs that a plan is tried on
 LEAST_DIM = 16   # shorter vectors are filtered as if zeros followed
 BLOCK = 1024
+GRID = 1 << 20   # coordinates are decoded as whole numbers of this part of the length
+COLUMNS = 256    # filters compared at a time
 SEED = 7
 
 
@@ -102,7 +110,7 @@ def recall(t: float, size: int, limit: float, dim: int, seed: int = SEED, pairs:
 
 
 def _codes(dim: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two codes, each direction a column, turned by one random rotation."""
+    """The two codes, each direction a column, turned by one random rotation, on the grid."""
     whole = max(dim, LEAST_DIM)
     draw = np.random.default_rng([seed, whole, size])
     half = whole - whole // 2
@@ -110,14 +118,16 @@ def _codes(dim: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     halves = []
     for part in (turn[:, :half], turn[:, half:]):
         code = draw.standard_normal((size, part.shape[1]))
-        halves.append(part @ (code / np.linalg.norm(code, axis=1, keepdims=True)).T)
+        halves.append(np.rint(GRID * (part @ (code / np.linalg.norm(code, axis=1, keepdims=True)).T)))
     return halves[0], halves[1]
 
 
 def decode(unit: np.ndarray, t: float, codes: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """For each unit vector the sorted numbers of the filters it belongs to."""
+    """For each unit vector the sorted numbers of the filters it belongs to. On the grid
+    products and their sums are whole numbers below 2^53: the same in any batch."""
     size = codes[0].shape[1]
-    need = t * math.sqrt(2)   # directions are pairs divided by the root of two
+    need = math.ceil(t * math.sqrt(2) * GRID * GRID)   # directions are pairs divided by the root of two
+    unit = np.rint(GRID * unit)
     found = []
     rows = max(1, 1_000_000 // size)
     for at in range(0, len(unit), rows):
@@ -134,100 +144,118 @@ def decode(unit: np.ndarray, t: float, codes: tuple[np.ndarray, np.ndarray]) ->
     return found
 
 
-def _nodes(batches):
-    """Id, node and vector (doubles) of every row; node and vector are null where a
-    vector links with nothing."""
-    for batch in batches:
-        node, packed = [], []
-        for v in batch.column(1).to_pylist():
-            x = None if v is None or None in v else np.array(v, dtype=np.float64)
-            if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
-                node.append(None)
-                packed.append(None)
-                continue
-            raw = (x + 0.0).tobytes()   # so that -0.0 is 0.0
-            node.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True))
-            packed.append(raw)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(node, pa.int64()), pa.array(packed, pa.binary())], ["vec_id", "node", "vector"])
+def _nodes(kind):
+    """Id, node and vector (packed as ``kind``) of every row; node and vector are null
+    where a vector links with nothing."""
+    def run(batches):
+        for batch in batches:
+            node, packed = [], []
+            for v in batch.column(1).to_pylist():
+                x = None if v is None or None in v else np.array(v, dtype=kind)
+                if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
+                    node.append(None)
+                    packed.append(None)
+                    continue
+                raw = (x + 0).tobytes()   # so that -0.0 is 0.0
+                node.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True))
+                packed.append(raw)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(node, pa.int64()), pa.array(packed, pa.binary())], ["vec_id", "node", "vector"])
+    return run
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
-    """Vectors of length one, without overflow on the way."""
+    """Vectors of length one, in doubles, without overflow on the way."""
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filters(plans, seed, step=256):
+def _unpacked(vectors: list[bytes], kind: str, dim: int) -> np.ndarray:
+    return _scaled(np.frombuffer(b"".join(vectors), dtype=kind).reshape(-1, dim))
+
+
+def _filters(plans, seed, kind, step=256):
+    """One row for each vector and filter that it belongs to."""
+    width = np.dtype(kind).itemsize
+
     def run(batches):
         codes = {}
         for batch in batches:
             rows = {}
             for i, raw in enumerate(batch.column("vector").to_pylist()):
-                rows.setdefault(len(raw) // 8, []).append((i, raw))
+                rows.setdefault(len(raw) // width, []).append((i, raw))
             for dim, whole in rows.items():
                 t, size = plans[dim]
                 if dim not in codes:
                     codes[dim] = _codes(dim, size, seed)
                 for at in range(0, len(whole), step):
                     held = whole[at:at + step]
-                    unit = _scaled(np.frombuffer(b"".join(r for _, r in held)).reshape(-1, dim))
-                    found = decode(unit, t, codes[dim])
+                    found = decode(_unpacked([r for _, r in held], kind, dim), t, codes[dim])
                     many = np.array([len(f) for f in found])
                     take = pa.array(np.repeat(np.array([i for i, _ in held]), many))
-                    packed = pa.array([f.astype("<i8").tobytes() for f in found], pa.binary())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(int(many.sum()), dim, dtype=np.int32)), pa.array(np.concatenate(found)),
                          batch.column("node").take(take), batch.column("copies").take(take),
-                         batch.column("vector").take(take),
-                         packed.take(pa.array(np.repeat(np.arange(len(many)), many)))],
-                        ["dim", "filter", "node", "copies", "vector", "filters"])
+                         batch.column("vector").take(take)],
+                        ["dim", "filter", "node", "copies", "vector"])
     return run
 
 
-def _shares_earlier(mine: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 4_000_000) -> np.ndarray:
-    """Whether rows a and b of ``mine`` (filters before this one, padded) have one in common."""
-    out = np.zeros(len(a), dtype=bool)
-    step = max(1, most // mine.shape[1] ** 2)
-    against = np.where(mine < 0, -2, mine)   # padding equals nothing
-    for i in range(0, len(a), step):
-        x, y = mine[a[i:i + step]], against[b[i:i + step]]
-        out[i:i + step] = (x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
-    return out
-
-
-def _verify(limit):
+def _drop_owned(near: np.ndarray, filters: list[np.ndarray], this: int) -> None:
+    """Take pairs off ``near`` that share a filter smaller than ``this``."""
+    earlier = [f[f < this] for f in filters]
+    row = np.repeat(np.arange(len(earlier)), [len(f) for f in earlier])
+    _, column, many = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
+    place = np.empty(len(many), dtype=np.int64)
+    place[np.argsort(-many, kind="stable")] = np.arange(len(many))
+    column = place[column]
+    shared = int((many > 1).sum())
+    for at in range(0, shared, COLUMNS):
+        held = (column >= at) & (column < min(at + COLUMNS, shared))
+        has = np.zeros((len(earlier), COLUMNS), dtype=np.float32)
+        has[row[held], column[held] - at] = 1
+        near &= has @ has.T < 0.5
+        if not near.any():
+            return
+
+
+def _groups(near: np.ndarray) -> np.ndarray:
+    """The first member of each one's group."""
+    group = np.full(len(near), -1)
+    for start in range(len(near)):
+        if group[start] < 0:
+            front = np.array([start])
+            while len(front):
+                group[front] = start
+                front = np.flatnonzero(near[front].any(axis=0) & (group < 0))
+    return group
+
+
+def _verify(limit, plans, seed, kind):
     """Links within one cell: a block of a cap with itself or with another block."""
+    codes = {}
+
     def run(key, rows):
         dim, this, i, j = (k.as_py() for k in key)
-        side = rows.column("block").to_numpy()
         node, copies = rows.column("node").to_numpy(), rows.column("copies").to_numpy()
-        unit = _scaled(np.frombuffer(b"".join(rows.column("vector").to_pylist())).reshape(-1, dim))
+        unit = _unpacked(rows.column("vector").to_pylist(), kind, dim)
         near = unit @ unit.T >= limit
-        near &= np.triu(np.ones_like(near), 1)
+        np.fill_diagonal(near, False)
         if i != j:
+            side = rows.column("block").to_numpy()
             near &= side[:, None] != side[None, :]
-        a, b = np.nonzero(near)
-        parent = list(range(len(node)))
-
-        def root(v):
-            while parent[v] != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-        for v, w in zip(a.tolist(), b.tolist(), strict=True):
-            parent[root(v)] = root(w)
-        earlier = [np.frombuffer(f, "<i8") for f in rows.column("filters").to_pylist()]
-        earlier = [f[f < this] for f in earlier]
-        mine = np.full((len(node), max([1, *map(len, earlier)])), -1, dtype=np.int64)
-        for k, f in enumerate(earlier):
-            mine[k, :len(f)] = f
-        first = ~_shares_earlier(mine, a, b)
-        links = np.bincount(a[first], weights=copies[b[first]], minlength=len(node))
-        links += np.bincount(b[first], weights=copies[a[first]], minlength=len(node))
-        met = np.unique(np.concatenate([a, b]))
-        return pa.table({"node": pa.array(node[met]), "links": pa.array(links[met].astype(np.int64)),
-                         "other": pa.array(node[[root(int(v)) for v in met]], pa.int64())})
+        met = np.flatnonzero(near.any(axis=1))
+        near = near[np.ix_(met, met)]
+        if len(met):
+            t, size = plans[dim]
+            if dim not in codes:
+                codes[dim] = _codes(dim, size, seed)
+            _drop_owned(near, decode(unit[met], t, codes[dim]), this)
+        left = np.flatnonzero(near.any(axis=1))
+        met, near = met[left], near[np.ix_(left, left)]
+        return pa.table({"node": pa.array(node[met]), "links": pa.array(near @ copies[met], pa.int64()),
+                         "other": pa.array(node[met[_groups(near)]], pa.int64())})
     return run
 
 
@@ -243,33 +271,38 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     ``kept`` says that it is the own. Repeated rows, also under the same id, link with
     each other. Other columns are not read. An empty table gives no rows.
     """
+    element = vectors.select(embedding).schema[0].dataType.elementType.simpleString()
+    kind = "<f4" if element == "float" else "<f8"   # floats are whole in four bytes
     own = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     id_type = own.schema["vec_id"].dataType.simpleString()
-    rows = settle(own.mapInArrow(_nodes, f"vec_id {id_type}, node long, vector binary"), "vectors")
+    rows = settle(own.mapInArrow(_nodes(kind), f"vec_id {id_type}, node long, vector binary"), "vectors")
     nodes = rows.where("node is not null").groupBy("node").agg(
         F.count("*").alias("copies"), F.first("vector").alias("vector"))
     nodes = settle(nodes, "nodes")
-    counts = nodes.groupBy((F.octet_length("vector") / 8).cast("int").alias("dim")).agg(F.count("*").alias("n")).collect()
+    dim = (F.octet_length("vector") / np.dtype(kind).itemsize).cast("int").alias("dim")
+    counts = nodes.groupBy(dim).agg(F.count("*").alias("n")).collect()
     plans = {c["dim"]: plan(c["n"], limit, c["dim"], cap, shared, seed) for c in counts}
     caps = settle(nodes.mapInArrow(
-        _filters(plans, seed),
-        "dim int, filter long, node long, copies long, vector binary, filters binary"), "caps")
-    sizes = (caps.groupBy("dim", "filter").agg(F.count("*").alias("n")).where("n > 1")
-             .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
-    blocked = caps.join(sizes, ["dim", "filter"]).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = (blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        _filters(plans, seed, kind), "dim int, filter long, node long, copies long, vector binary"), "caps")
+    # written, so that its size is known when the join is planned
+    large = settle(caps.groupBy("dim", "filter").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+                   .select("dim", "filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large")
+    blocks = F.coalesce("blocks", F.lit(1))
+    cells = (caps.join(large, ["dim", "filter"], "left")
+             .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
              .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}))
-    found = settle(cells.select("dim", "filter", "i", "j", "block", "node", "copies", "vector", "filters")
-                   .groupBy("dim", "filter", "i", "j")
-                   .applyInArrow(_verify(limit), "node long, links long, other long"), "found")
+    cell = ["dim", "filter", "i", "j"]
+    # the blocks of a cap are dealt, too: a grouping alone would be content with the join's deal by cap
+    found = settle(cells.select(*cell, "block", "node", "copies", "vector").repartition(*cell)
+                   .groupBy(*cell).applyInArrow(_verify(limit, plans, seed, kind), "node long, links long, other long"), "found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     group = components(found, "node", "other")
-    named = (rows.select("vec_id", "node").join(nodes.select("node", "copies"), "node", "left")
-             .join(links, "node", "left").join(group, "node", "left")
-             .withColumn("root", F.coalesce("root", "node")))
+    named = settle(rows.select("vec_id", "node").join(nodes.select("node", "copies"), "node", "left")
+                   .join(links, "node", "left").join(group, "node", "left")
+                   .withColumn("root", F.coalesce("root", "node")), "named")
     least = named.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least"))
-    out = named.join(least, "root", "left")
+    out = salted_join(named, least, ["root"])
     component = F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("least"))
     return out.select(
         "vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),

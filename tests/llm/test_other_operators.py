@@ -106,6 +106,45 @@ def test_caps_are_cut_into_blocks(spark, monkeypatch):
     assert [r.n_links for r in got] == [89] * 90 and {r.component_id for r in got} == {0}
 
 
+def test_pairs_belong_to_their_smallest_filter(monkeypatch):
+    monkeypatch.setattr(embeddings, "COLUMNS", 3)
+    rng = random.Random(6)
+    filters = [np.array(sorted(rng.sample(range(30), rng.randrange(8))) + [40], dtype=np.int64) for _ in range(40)]
+    near = np.array([[i != j and (i + j) % 3 > 0 for j in range(40)] for i in range(40)])
+    for this in (0, 7, 40):
+        got = near.copy()
+        embeddings._drop_owned(got, filters, this)
+        want = [[near[i, j] and not any(f < this for f in set(a.tolist()) & set(b.tolist())) for j, b in enumerate(filters)]
+                for i, a in enumerate(filters)]
+        assert (got == np.array(want)).all()
+        group = embeddings._groups(got)
+        assert all(group[i] == group[j] for i, j in zip(*np.nonzero(got))) and (group <= np.arange(40)).all()
+
+
+def test_filters_are_the_same_in_any_batch():
+    rng = np.random.default_rng(12)
+    unit = embeddings._scaled(rng.standard_normal((300, 64)))
+    t, size = embeddings.plan(50_000, 0.9, 64)
+    codes = embeddings._codes(64, size, 1)
+    whole = embeddings.decode(unit, t, codes)
+    for i in range(0, 300, 7):
+        assert embeddings.decode(unit[i:i + 1], t, codes)[0].tolist() == whole[i].tolist()
+
+
+def test_embeddings_of_floats(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 32)
+    rng = np.random.default_rng(10)
+    centre = rng.standard_normal(24)
+    rows = [(i, [float(x) for x in (centre + 0.3 * rng.standard_normal(24)).astype(np.float32)]) for i in range(80)]
+    rows += [(90, rows[3][1]), (91, [0.0] * 23 + [-0.0]), (92, None), (93, [float("inf")] * 24)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    link = brute_links(rows, 0.9)
+    total = sum(map(len, link))
+    assert 0.97 * total <= sum(r.n_links for r in got) <= total
+    want = {i: len(x) for (i, _), x in zip(rows, link)}
+    assert all(r.n_links <= want[r.vec_id] for r in got) and len(got) == 84
+
+
 def test_urls_against_plain(spark):
     entries = [("bad.example.com", "spam", T(2024, 2, 1), True), ("bad.example.com", "spam", T(2024, 3, 1), False),
                ("bad.example.com", "spam", T(2024, 3, 1), True), ("bad.example.com", "spam", T(2024, 4, 1), False),
