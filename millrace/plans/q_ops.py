@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lineage, ops
-from ..operators.router import Endpoint, route
+from ..operators.router import Endpoint, route, route_by_table
 from ..schemas import small_df
 from ..sources import derived
 from .shared import MESSAGES, VALIDATED, validated, with_ctes
@@ -109,6 +109,34 @@ SELECT page_id, endpoint, CASE WHEN endpoint IN ('paged', 'any_get') THEN lang E
   CASE WHEN endpoint IN ('submit', 'any_get') THEN 'a; b' END AS session,
   CASE WHEN endpoint = 'submit' THEN concat('t', CAST(page_id AS VARCHAR)) END AS auth FROM routed"""
 
+
+def route_table(spark, sf):
+    p = F.col("params")
+    return route_by_table(derived.http_log(spark, sf), derived.endpoints(spark, sf), "page_id").select(
+        "page_id", "endpoint", p["lang"].alias("lang"), p["id"].alias("id"), p["page"].alias("page"),
+        p["Session"].alias("session"), p["Authorization"].alias("auth"))
+
+
+QUERIES["route_table"] = route_table
+ORACLES["route_table"] = """
+WITH parts AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u, page_id % 3 <> 2 AS is_get, page_id % 4 AS m FROM pages),
+req AS (SELECT *, regexp_extract(u, '^https?://[^/]+/([^/?]*)/([^/?]*)/*(\\?|$)', 1) AS lang,
+  regexp_extract(u, '^https?://[^/]+/([^/?]*)/([^/?]*)/*(\\?|$)', 2) AS id,
+  nullif(regexp_extract(u, '[?&]page=([^&]*)', 1), '') AS pg FROM parts),
+a AS (SELECT id, min(page_id) AS pa FROM req WHERE id <> '' AND page_id % 5 = 0 GROUP BY ALL),
+b AS (SELECT lang, id, min(page_id) AS pb FROM req WHERE id <> '' AND page_id % 5 = 1 GROUP BY ALL),
+c AS (SELECT lang, min(page_id) AS pc FROM req WHERE id <> '' AND page_id % 5 = 2 GROUP BY ALL),
+met AS (SELECT req.*, CASE WHEN is_get THEN pa END AS pa, CASE WHEN is_get AND pg IS NOT NULL THEN pb END AS pb,
+  CASE WHEN NOT is_get AND m = 0 THEN pc END AS pc,
+  CASE WHEN is_get AND m < 2 AND req.id <> '' THEN (SELECT max(page_id) + 1 FROM pages) END AS pd
+  FROM req LEFT JOIN a ON a.id = req.id LEFT JOIN b ON b.lang = req.lang AND b.id = req.id
+  LEFT JOIN c ON c.lang = req.lang AND req.id <> ''),
+won AS (SELECT *, least(pa, pb, pc, pd) AS w FROM met)
+SELECT page_id, CASE WHEN w IS NULL THEN 'default' WHEN w = pd THEN 'rest' ELSE concat('p', CAST(w AS VARCHAR)) END AS endpoint,
+  CASE WHEN w = pa OR w = pd THEN lang END AS lang, CASE WHEN w = pc OR w = pd THEN id END AS id,
+  CASE WHEN w = pa OR w = pb THEN pg END AS page, CASE WHEN w = pd THEN 'a; b' END AS session,
+  CASE WHEN w = pc THEN concat('t', CAST(page_id AS VARCHAR)) END AS auth FROM won"""
+
 EDGES = """
 tasks AS (SELECT concat('org', CAST(o_custkey AS VARCHAR)) AS org, concat('t', CAST(o_orderkey AS VARCHAR)) AS task,
   CAST(round(o_totalprice * 100) AS BIGINT) % 12 AS q_in, unnest(CASE o_orderstatus WHEN 'F'

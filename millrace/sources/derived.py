@@ -131,6 +131,29 @@ def http_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoint definitions from the page addresses, so that they grow with the pages: paths
+    of two parts of which one or both are fixed, and one that takes what is left."""
+    address = F.regexp_replace("url", "#.*$", "")
+    lang, last = (F.regexp_extract(address, r"^https?://[^/]+/([^/?]*)/([^/?]*)/*(\?|$)", i) for i in (1, 2))
+    pages, kind, flags = table(spark, sf_dir, "pages"), F.col("page_id") % 5, "map<string,boolean>"
+    none = F.create_map().cast(flags)
+    json = F.array(F.lit("application/json"))
+    some = pages.where((last != "") & (kind < 3)).select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), F.col("page_id").alias("position"),
+        F.when(kind == 2, "post").otherwise("GET").alias("method"),
+        F.when(kind == 0, F.concat(F.lit("/{lang}/"), last)).when(kind == 1, F.concat(F.lit("/"), lang, F.lit("/"), last))
+        .otherwise(F.concat(F.lit("/"), lang, F.lit("/{id}"))).alias("path"),
+        F.when(kind < 2, F.create_map(F.lit("page"), kind == 1)).otherwise(none).alias("query"),
+        F.when(kind == 2, F.create_map(F.lit("Authorization"), F.lit(True))).otherwise(none).alias("headers"),
+        none.alias("cookies"), F.when(kind == 2, json).otherwise(F.array().cast("array<string>")).alias("content_types"))
+    rest = pages.agg((F.max("page_id") + 1).alias("position")).select(
+        F.lit("rest").alias("name"), "position", F.lit("GET").alias("method"), F.lit("/{lang}/{id}").alias("path"),
+        none.alias("query"), none.alias("headers"), F.create_map(F.lit("Session"), F.lit(True)).alias("cookies"),
+        F.array().cast("array<string>").alias("content_types"))
+    return some.unionByName(rest)
+
+
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of submitted SQL texts, one per event."""
     eid, kind = F.col("event_id"), F.col("event_type")
