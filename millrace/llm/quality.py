@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, settle
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -168,5 +168,5 @@ def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     Empty tables, null ids and null strata are allowed: a null stratum is one of its
     own, and without labels only the base rules reject.
     """
-    measured = measures(docs, text)
+    measured = settle(measures(docs, text), "measured")   # read for the cutoffs and for the verdicts
     return judge(measured, cutoffs(measured, labels, doc_id, stratum, alpha=alpha, delta=delta), stratum)

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trim, worker_cache
+from .common import settle, trim, worker_cache
 
 SAMPLE = 10_000      # labelled documents that the model is fitted on, at most
 FEATURES = 1 << 32   # hashed words
 LEAST = 5            # sampled documents, different in text, that a feature needs
+WORDS = 65_536       # features that reach the driver, at most
+PAIRS = 4_000_000    # occurrences of features that reach the driver, at most
 LARGEST = 12.0       # size of a weight
 REMEMBERED = 150_000
 
@@ -132,7 +134,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
           sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents, those whose id hashes lowest. Of
     equal texts one is used. Null labels and ids do not count; a document labelled
-    twice counts as toxic if any label says so."""
+    twice counts as toxic if any label says so.
+
+    Words are counted by Spark. Only those that the fit could use reach the driver: at
+    most ``WORDS`` words that toxic texts have most in excess, and of these, from the
+    first on, as many as occur ``PAIRS`` times in the sample, however long its texts."""
     asked = (labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull())
              .groupBy(F.col(doc_id).alias("_doc")).agg(F.max(toxic).cast("int").alias("toxic"))
              .orderBy(F.xxhash64("_doc"), "_doc").limit(sample))
@@ -140,14 +146,24 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     picked = (docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("text"))
               .join(F.broadcast(asked), "_doc")
               .select("text", "toxic", F.xxhash64("text").alias("text_hash")))
-    table = (picked.mapInArrow(_features, "text_hash long, toxic int, features array<long>")
-             .groupBy("text_hash").agg(F.max("toxic").alias("toxic"), F.first("features").alias("features"))
-             .orderBy("text_hash").limit(sample).toArrow())
-    if not len(table):
+    found = settle(picked.mapInArrow(_features, "text_hash long, toxic int, features array<long>"), "features")
+    kept = settle(found.groupBy("text_hash").agg(F.max("toxic").alias("toxic")).orderBy("text_hash").limit(sample), "kept")
+    texts = kept.orderBy("text_hash").toArrow()
+    if not len(texts):
         return Model({}, [50.0])
-    lists = table.column("features").combine_chunks()
-    at = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    features, flags = lists.flatten().to_numpy().astype(np.int64), table.column("toxic").to_numpy()
+    flags = texts.column("toxic").to_numpy()
+    pairs = (found.select("text_hash", F.explode("features").alias("feature")).distinct()
+             .join(F.broadcast(kept), "text_hash"))
+    excess = F.col("bad") - F.col("has") * float((flags == 1).mean())
+    counts = pairs.groupBy("feature").agg(F.count("*").alias("has"), F.count_if(F.col("toxic") == 1).alias("bad"))
+    useful = (counts.where((F.col("bad") >= LEAST) & ((F.col("bad") == F.col("has")) | (excess >= LEAST - 0.5)))
+              .orderBy(excess.desc(), "feature").limit(WORDS).select("feature", "has").toArrow())
+    fits = np.cumsum(useful.column("has").to_numpy()) <= PAIRS
+    words = docs.sparkSession.createDataFrame(useful.select(["feature"]).filter(pa.array(fits, pa.bool_())))
+    rows = pairs.join(F.broadcast(words), "feature").select("text_hash", "feature").toArrow()
+    at = np.searchsorted(texts.column("text_hash").to_numpy(), rows.column("text_hash").to_numpy())
+    order = np.lexsort((rows.column("feature").to_numpy(), at))
+    at, features = at[order], rows.column("feature").to_numpy()[order]
     return fit(at, features, grade(at, features, flags))
 
 

@@ -207,6 +207,36 @@ def test_toxicity_edges(spark):
     assert toxicity.score(table(spark, []), toxicity.train(docs, none)).count() == 0
 
 
+def test_toxicity_of_bounded_words_equals_the_fit_on_all(spark, monkeypatch):
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        said = [rng.choice(["plain", "calm", "river", "stone", "paper"]) + rng.choice("abcdefgh") for _ in range(30)]
+        said += [rng.choice(["vile", "grim", "foul"]) for _ in range(rng.randrange(4))] if bad or i % 37 == 0 else []
+        rows.append((i, " ".join(said)))
+        labels.append((i, int(bad)))
+    rows += [(0, rows[0][1]), (900, rows[4][1]), (901, None), (902, ""), (903, "x " * 50_000)]
+    labels += [(900, 1), (901, 0), (902, 1), (903, 0), (None, 1), (3, None)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    said = dict(labels)
+    said[3] = 0
+    flags, features = {}, {}
+    for i, text in rows:
+        flags[text] = max(flags.get(text, 0), said[i])
+        features[text] = sorted({toxicity.feature(w) for w in toxicity.words(text or "")})
+    texts = sorted(flags, key=lambda t: t or "")
+    at = np.array([i for i, t in enumerate(texts) for _ in features[t]])
+    held = np.array([f for t in texts for f in features[t]])
+    want = toxicity.fit(at, held, toxicity.grade(at, held, np.array([flags[t] for t in texts])))
+    assert model.weights.keys() == want.weights.keys() and len(model.weights) >= 2
+    assert all(abs(model.weights[k] - w) < 1e-6 for k, w in want.weights.items())
+    assert np.allclose(model.thresholds, want.thresholds, atol=1e-6)
+    monkeypatch.setattr(toxicity, "PAIRS", 0)   # nothing may reach the driver: nothing is toxic by its words
+    assert toxicity.train(docs, marks).weights == {}
+
+
 def test_sentencepiece_parity_and_round_trip(spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()] + ODD[:-1]
     docs = [(i, t) for i, t in enumerate(texts)] + [(None, None), (3, "again"), (3, "again")]
