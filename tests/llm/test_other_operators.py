@@ -4,9 +4,11 @@ import datetime as dt
 import json
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +241,45 @@ def test_class_words_of_wrappers_do_not_drop_the_text(spark):
         assert r.text.split("\n\n") == [*head, f"Text {r.page_id} of the page."] + ["Rare"] * (r.page_id == 0)
 
 
+@pytest.mark.parametrize("page", [
+    "<div>x" * 100_000, "<div class=ad-x>x" * 100_000, "<p><div>" * 50_000 + "x", "</p>" * 200_000 + "x",
+    "<div>" * 100_000 + "</em></p>" * 100_000 + "x", "<li><b class=ad>" * 50_000, "<b>" * 100_000 + "</i>" * 100_000 + "x",
+    "<div>" + "<b class=ad>" * 50_000 + "<li>x</li>" * 50_000, "<i class=share-x><div>" * 30_000 + "x" + "</i>" * 30_000])
+def test_deep_pages_cost_their_length(page):
+    began = time.process_time()
+    extract.main_text(page, "/div/div")
+    for _ in extract._tokens([pa.RecordBatch.from_pydict({"page_id": [1], "host": ["h"], "html": [page]})]):
+        pass
+    assert time.process_time() - began < 20
+
+
+def test_marks_that_name_parts():
+    for page, want in [
+            ('<article><p>One</p><div class="ad-slot-1">x</div><section id="comments-list">y</section></article>', "One"),
+            ('<article><p class="search">How to search</p><h1 class="header">H</h1></article>', "How to search\n\nH"),
+            ('<p class="notice">x</p><p>One</p>', "One"), ('<p title="x>Hello <b>you</b>', "Hello you")]:
+        assert extract.main_text(page, None) == want
+
+
+def test_repeated_runs_and_numbered_slots_are_template(spark):
+    """Without a telling class; a host of copies and a host of few pages keep their texts."""
+    note = "<p>We value what you read here.</p>"
+    rows = [(i, "http://a.example/", f"<article><h1>Head {i}</h1>{note}<p>{'text %d ' % i * 20}</p><div class=x-promo-{i}>buy {i}</div>"
+             f"<p>{'more %d ' % i * 20}</p></article>") for i in range(10)]
+    rows += [(20 + i, "http://copies.example/", f"<article><h1>Same head</h1><p>{'same ' * 30}</p></article>") for i in range(8)]
+    rows += [(30 + i, "http://near.example/", f"<article><p>{'same ' * 30}</p><p>end {i}</p></article>") for i in range(8)]
+    rows += [(40 + i, "http://few.example/", f"<article>{note}<p>text {i} of this page here</p></article>") for i in range(3)]
+    rows += [(50, "http://a.example/", f"<article><p>other page</p>{note}</article>")]
+    got = {r.page_id: r.text.split("\n\n") for r in extract.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(10):
+        assert got[i] == [f"Head {i}", ("text %d " % i * 20).strip(), ("more %d " % i * 20).strip()]
+    for i in range(8):
+        assert got[20 + i] == ["Same head", ("same " * 30).strip()] and got[30 + i] == [("same " * 30).strip(), f"end {i}"]
+    for i in range(3):
+        assert got[40 + i] == ["We value what you read here.", f"text {i} of this page here"]
+
+
 def test_template_finds_the_container(spark):
     """Pages without an article: the container is what holds the hosts' text."""
     pages = [(i, "h", f"<body><div class=x1>top {i % 2}</div><div class=x2><p>{'text of the page ' * 30}{i}</p><p>end {i}</p></div>")
