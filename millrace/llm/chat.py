@@ -48,29 +48,53 @@ def depths(calls: DataFrame) -> DataFrame:
     return state.select("conv_id", "id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), "latest")
 
 
-def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
+# How values of a type look in JSON.
+LOOKS = {"string": r'^".*"$', "integer": r"^-?[0-9]+$", "number": r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$",
+         "boolean": r"^(true|false)$"}
+
+Kind = str | dict | list
+
+
+def _names(*parts: Column | str) -> Column:
+    return F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts]).cast("array<string>")
+
+
+def _value_faults(value: Column, kind: Kind, path: str) -> Column:
+    """The faults of a value that is there; ``path`` names it, an array's elements as ``[]``."""
+    wrong = _names(f"type:{path}")
+    shown = F.coalesce(F.to_json(value), F.lit("null"))
+    if isinstance(kind, dict):
+        return F.when(shown.startswith("{"), _field_faults(value.try_cast("map<string, variant>"), kind, f"{path}.")).otherwise(wrong)
+    if isinstance(kind, list):
+        each = F.transform(value.try_cast("array<variant>"), lambda v: _value_faults(v, kind[0], f"{path}[]"))
+        return F.when(shown.startswith("["), F.array_distinct(F.flatten(each))).otherwise(wrong)
+    return F.when(shown.rlike("(?s)" + LOOKS[kind]), _names()).otherwise(wrong)
+
+
+def _field_faults(given: Column, fields: dict[str, tuple[Kind, bool]], path: str = "") -> Column:
+    """The faults of an object's fields, and of fields that the schema does not know."""
+    found = [F.transform(F.array_except(F.map_keys(given), _names(*fields)), lambda k: F.concat(F.lit(f"extra:{path}"), k))]
+    for field, (kind, needed) in fields.items():
+        absent = _names(f"missing:{path}{field}") if needed else _names()
+        found.append(F.when(F.to_json(given[field]).isNull(), absent).otherwise(
+            _value_faults(given[field], kind, f"{path}{field}")))
+    return F.concat(*found)
+
+
+def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[Kind, bool]]]) -> Column:
     """The faults of a call, sorted: ``tool`` for an unknown tool, ``json`` for arguments
-    that are not a JSON object, ``missing:x``, ``type:x`` and ``extra:x`` for its fields.
+    that are not a JSON object, ``missing:x``, ``type:x`` and ``extra:x`` for its fields;
+    a field ``y`` of an object ``x`` is ``x.y``, an element of an array ``x`` is ``x[]``.
 
-    A schema names each field's type (string, integer, number or boolean) and whether
-    it must be there."""
-    # How values of a type look in JSON.
-    looks = {"string": r'^".*"$', "integer": r"^-?[0-9]+$", "number": r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$",
-             "boolean": r"^(true|false)$"}
+    A schema names each field's type and whether it must be there. A type is string,
+    integer, number or boolean, a dict of an object's fields, or a list of the one type
+    that an array's elements have."""
     given = F.try_parse_json(arguments).try_cast("map<string, variant>")
-    found = F.when(F.lit(True), F.array(F.lit("tool")))
+    found = F.when(F.lit(True), _names("tool"))
     for tool, fields in schemas.items():
-        tests = []
-        for field, (kind, needed) in fields.items():
-            value = F.to_json(given[field])
-            if needed:
-                tests.append(F.when(value.isNull(), F.lit(f"missing:{field}")))
-            tests.append(F.when(value.isNotNull() & ~value.rlike("(?s)" + looks[kind]), F.lit(f"type:{field}")))
-        names = F.array(*[F.lit(f) for f in fields]) if fields else F.array().cast("array<string>")
-        extra = F.transform(F.array_except(F.map_keys(given), names), lambda k: F.concat(F.lit("extra:"), k))
-        faults = F.array_sort(F.concat(F.array_compact(F.array(*tests)), extra))
-        found = F.when(name == tool, F.when(given.isNull(), F.array(F.lit("json"))).otherwise(faults)).otherwise(found)
-    return F.when(name.isNull(), F.array(F.lit("tool"))).otherwise(found)
+        faults = F.array_sort(_field_faults(given, fields))
+        found = F.when(name == tool, F.when(given.isNull(), _names("json")).otherwise(faults)).otherwise(found)
+    return F.when(name.isNull(), _names("tool")).otherwise(found)
 
 
 def _finite(text: str) -> float:
@@ -121,7 +145,7 @@ def _serialise(batches):
         yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
-def format_chat(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+def format_chat(messages: DataFrame, schemas: dict[str, dict[str, tuple[Kind, bool]]]) -> DataFrame:
     """Messages ``(conv_id, turn, role, text, id, name, arguments, after)`` in order.
 
     A row with a name is a call, one with the role ``tool`` a result, any other a plain

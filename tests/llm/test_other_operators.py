@@ -316,6 +316,51 @@ def test_chat(spark):
     assert len(got) == len(rows) and chat.format_chat(frame.limit(0), schemas).count() == 0
 
 
+def _plain_faults(value, kind, path):
+    if isinstance(kind, dict):
+        if not isinstance(value, dict):
+            return {f"type:{path[:-1]}"}
+        out = {f"extra:{path}{k}" for k in value if k not in kind}
+        for field, (inner, needed) in kind.items():
+            if field not in value:
+                out |= {f"missing:{path}{field}"} if needed else set()
+            else:
+                out |= _plain_faults(value[field], inner, f"{path}{field}" + "." * isinstance(inner, dict))
+        return out
+    if isinstance(kind, list):
+        inner = f"{path}[]" + "." * isinstance(kind[0], dict)
+        return set().union(*[_plain_faults(v, kind[0], inner) for v in value]) if isinstance(value, list) else {f"type:{path}"}
+    fits = {"string": isinstance(value, str), "boolean": isinstance(value, bool),
+            "integer": isinstance(value, int) and not isinstance(value, bool),
+            "number": isinstance(value, (int, float)) and not isinstance(value, bool)}
+    return set() if fits[kind] else {f"type:{path}"}
+
+
+def test_nested_schemas_against_plain(spark):
+    schema = {"to": ({"name": ("string", True), "at": ({"x": ("number", True), "y": ("integer", False)}, False)}, True),
+              "tags": (["string"], False), "rows": ([{"id": ("integer", True), "ok": ("boolean", False)}], False),
+              "grid": ([["integer"]], False)}
+    rng = random.Random(3)
+
+    def some(kind, depth=0):
+        if rng.random() < 0.12:
+            return rng.choice([5, "s", True, [], {}, [1, "a"], {"name": "n"}, 2.5])
+        if isinstance(kind, dict):
+            out = {f: some(k, depth + 1) for f, (k, _) in kind.items() if rng.random() < 0.85}
+            return out | ({"odd": 1} if rng.random() < 0.1 else {})
+        if isinstance(kind, list):
+            return [some(kind[0], depth + 1) for _ in range(rng.randrange(4))]
+        return {"string": 'a "b"\n', "integer": -7, "number": 1.25, "boolean": False}[kind]
+    values = [v for v in (some(schema) for _ in range(400)) if isinstance(v, dict)] + [{}]
+    frame = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)] + [(-1, "[1]"), (-2, None), (-3, "")],
+                                  "i long, a string")
+    got = {r.i: r.p for r in frame.select("i", chat.problems(F.lit("f"), F.col("a"), {"f": schema}).alias("p")).collect()}
+    assert got[-1] == got[-2] == got[-3] == ["json"]
+    for i, v in enumerate(values):
+        assert got[i] == sorted(_plain_faults(v, schema, "")), v
+    assert sum(not got[i] for i in range(len(values))) > 20
+
+
 def test_malformed_arguments_stay():
     assert json.loads(chat.canonical('{"a": 1, "é')) == '{"a": 1, "é' and json.loads(chat.canonical("")) == ""
     assert chat.canonical(None) is None and chat.canonical('{"b": 1, "a": null}') == '{"a":null,"b":1}'
