@@ -110,11 +110,19 @@ def _rejects(rule: Rule, cutoff: Column) -> Column:
 
 
 def log_tail(n: int, k: int, p: float) -> float:
-    """Logarithm of the chance of at most ``k`` successes in ``n`` trials, exact."""
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
-            + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return top + math.log(sum(math.exp(x - top) for x in logs))
+    """Logarithm of the chance of at most ``k`` successes in ``n`` trials, exact to a
+    float's precision. From ``k`` downwards terms shrink ever faster below the mean, so the
+    number summed grows with the square root of ``n`` at most."""
+    top = (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+           + k * math.log(p) + (n - k) * math.log1p(-p))
+    term = total = 1.0
+    for i in range(k, 0, -1):
+        growth = i * (1 - p) / ((n - i + 1) * p)
+        term *= growth
+        total += term
+        if growth < 1 and term < 1e-18 * total:
+            break
+    return top + math.log(total)
 
 
 def allowed(n: int, k: int, alpha: float, level: float) -> bool:

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -337,6 +338,9 @@ def test_exact_binomial_bound():
     for n, k, p in ((50, 0, 0.05), (200, 3, 0.04), (1000, 12, 0.02)):
         plain = sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1))
         assert math.isclose(math.exp(quality.log_tail(n, k, p)), plain, rel_tol=1e-9)
+    began = time.process_time()   # a hundred million labels: near the normal law three deviations below the mean
+    assert math.isclose(math.exp(quality.log_tail(10 ** 8, 10 ** 6 - 2985, 0.01)), 0.00135, rel_tol=0.02)
+    assert time.process_time() - began < 0.5
     assert quality.allowed(500, 0, 0.02, 0.001) and not quality.allowed(100, 0, 0.02, 0.001)
     assert not quality.allowed(0, 0, 0.02, 0.5) and not quality.allowed(1000, 21, 0.02, 0.999)
 
