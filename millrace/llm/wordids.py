@@ -15,11 +15,12 @@ from array import array
 
 from .common import worker_cache
 
-REMEMBERED = 120_000   # entries of a generation of either memory
+REMEMBERED = 350_000   # entries of a generation of either memory, about 0.25 KB each
 LONGEST = 64           # longer parts are not remembered
 
 # Fixed value: the split pattern of the vocabulary file.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"   # the same on lower-case ASCII, with ``re``
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -53,6 +54,7 @@ class Memory(dict):
 class WordIds:
     def __init__(self, vocabulary: str):
         import os
+        import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # a task has one core
         import regex
@@ -61,7 +63,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.pieces = self.tokenizer.model.tokenize
         self.alphabet = byte_alphabet()
-        self.split = regex.compile(RUNS).findall
+        self.split, self.split_ascii = regex.compile(RUNS).findall, re.compile(ASCII_RUNS).findall
         self.plain = regex.compile(r"[!-~¡-įı-ɏ]+").fullmatch
         self.parts, self.runs = Memory(self._part), Memory(self._run)
 
@@ -74,7 +76,9 @@ class WordIds:
         return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
 
     def _part(self, part: str) -> bytes:
-        if "<|" in part or not (part.isascii() and part.isprintable() or self.plain(part)):
+        if part.isascii() and part.isprintable() and "<|" not in part:
+            return b"".join(map(self.runs.__getitem__, self.split_ascii(part.lower())))
+        if "<|" in part or not self.plain(part):
             return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.runs.__getitem__, self.split(part.lower())))
 

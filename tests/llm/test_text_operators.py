@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm import jaccard, packing, quality, sentencepieces, toxicity
 from millrace.llm.packing import best_fit
-from millrace.llm.wordids import WordIds
+from millrace.llm.wordids import LONGEST, Memory, WordIds
 
 VOCABULARY = str(public_tokenizers.path("word_bpe_49k.json"))
 PIECES = str(public_tokenizers.path("piece_bpe_32k.model"))
@@ -125,6 +125,23 @@ def check_packed(rows, docs, capacity=4096):
     return len(sequences), -(-sum(r.length for r in rows) // capacity)
 
 
+def test_words_are_remembered():
+    """The words of a task's documents, of which most are rare, are made once."""
+    made = []
+    memory = Memory(lambda text: made.append(text) or text.encode())
+    words = [f"w{i}" for i in range(300_000)]
+    assert [memory[w] for w in words] == [memory[w] for w in words] and len(made) == len(words)
+
+
+def test_ascii_runs_are_the_runs():
+    """Every pair of printable characters, alone and in a word, as the library has it."""
+    encode, whole = WordIds(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    signs = [chr(i) for i in range(33, 127)]
+    for text in (" ".join(a + b for a in signs for b in signs), " ".join(f"we'{a}e9{b}N" for a in signs for b in signs),
+                 "x" * (LONGEST + 1) + "'LL I'VE <|end|> <|"):
+        assert encode(text) == array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 def test_packing(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     docs += [(None, "twice"), (7, "twice"), (7, "twice"), (8, None), (9, ""), (10, "word " * 9000)]
