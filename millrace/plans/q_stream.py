@@ -8,8 +8,7 @@ from pyspark.sql import Row, functions as F
 from ..functions import payload as P
 from ..operators import ingest as I
 from ..operators import ops
-from ..schemas import STATE_OPS
-from ..session import scratch_path, state_partitions
+from ..session import child_names, scratch_path, state_partitions
 from ..sources import derived
 from ..sources.kv import read_kv
 from ..sources.lake import read_lake
@@ -28,18 +27,32 @@ AVAILABLE = {"availableNow": True}
 PARTS = 5
 
 
-def _timed_files(df, ts, path):
-    """Write rows as one folder entry per six days, oldest first."""
+ROWS_PER_FILE = 20_000
+
+
+def _dealt(ev):
+    """Events dealt over the cores, to files that are not too small."""
+    files = min(ev.sparkSession.sparkContext.defaultParallelism, ev.count() // ROWS_PER_FILE)
+    return ev.repartition(files) if files > 1 else ev.coalesce(1)
+
+
+def _timed_stream(df, ts, name):
+    """Rows as a stream of one micro-batch per six days, oldest first, whatever their
+    number: a task of the write makes a file, a micro-batch takes the files of a part."""
+    spark, path, schema = df.sparkSession, scratch_path(df.sparkSession, name), df.schema
+    width, none = df.rdd.getNumPartitions(), spark.createDataFrame([], schema)
     df = df.withColumn("_part", F.least(F.floor((F.dayofmonth(ts) - 1) / 6), F.lit(PARTS - 1)))
     for i in range(PARTS):
-        df.where(F.col("_part") == i).drop("_part").write.mode("append").parquet(path)
+        (df.where(F.col("_part") == i).drop("_part").write.mode("append")
+         .option("maxRecordsPerFile", 0).parquet(path))
+        made = sum(n.endswith(".parquet") for n in child_names(spark, path))
+        for _ in range((i + 1) * width - made):   # a task without rows makes no file
+            none.coalesce(1).write.mode("append").parquet(path)
+    return read_messages(spark, path, schema=schema, maxFilesPerTrigger=width)
 
 
 def message_stream(spark, sf):
-    path = scratch_path(spark, "messages")
-    # not spread over the cores first: that would cut each part into many micro-batches
-    _timed_files(derived.messages_from(derived.events(spark, sf)), "received_at", path)
-    return read_messages(spark, path, maxFilesPerTrigger=1)
+    return _timed_stream(derived.messages_from(_dealt(derived.events(spark, sf))), "received_at", "messages")
 
 
 def _run(df, path, checkpoint):
@@ -113,9 +126,8 @@ SELECT org, stream, message_key, seq, t AS ms FROM deduped""", recursive=True)
 
 def _state_checkpoint(spark, sf):
     """Run the operation log through the stateful stream; its checkpoint and changes."""
-    path, out, cp = (scratch_path(spark, n) for n in ("ops", "state", "cp"))
-    _timed_files(derived.state_ops(spark, sf), "at", path)
-    ops_in = read_messages(spark, path, schema=STATE_OPS, maxFilesPerTrigger=1)
+    out, cp = scratch_path(spark, "state"), scratch_path(spark, "cp")
+    ops_in = _timed_stream(derived.state_ops_from(_dealt(derived.events(spark, sf))), "at", "ops")
     return cp, _run_updates(state_stream(ops_in), out, cp)
 
 
@@ -146,9 +158,9 @@ ORACLES["state_stream"] = with_ctes(OPS, """
 SELECT state_key, count(DISTINCT least((day("at") - 1) // 6, 4)) AS changes, max(sec) AS last FROM ops GROUP BY ALL""")
 
 
-def _logins(spark, sf):
+def _logins(ev):
     """All events as messages of two input streams, with the value as body."""
-    return derived.events(spark, sf).select(
+    return ev.select(
         F.when(F.col("event_type") == "signup", "evt_register").otherwise("evt_login").alias("stream"),
         F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("message_key"),
         F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id"),
@@ -157,7 +169,7 @@ def _logins(spark, sf):
 
 def last_value_by_key(spark, sf):
     """The sample flow: two input topics, the latest value per user as output."""
-    msgs = _logins(spark, sf).withColumn("value", F.from_json("body", "value double").value)
+    msgs = _logins(derived.events(spark, sf)).withColumn("value", F.from_json("body", "value double").value)
     return SP.last_value(msgs, "message_key", "value", ["received_at", "seq"]).select(
         "message_key", "value", F.col("as_of.seq").alias("seq"))
 
@@ -173,7 +185,7 @@ def processor(spark, sf):
     def send(topic):
         return lambda df: df.select(F.lit(topic).alias("topic"), "message_key", "message_id", F.col("body"))
     p = SP.Processor({"evt_login": send("last_ip"), "evt_register": send("welcome")})
-    return p.run(_logins(spark, sf)).groupBy("topic", "message_key").agg(
+    return p.run(_logins(derived.events(spark, sf))).groupBy("topic", "message_key").agg(
         F.count("*").alias("n"), F.sum(F.get_json_object("body", "$.value").cast("decimal(18,2)")).cast("double").alias("value"))
 
 
@@ -196,10 +208,8 @@ def _count_visits(state, row):
 
 def keyed_session_state(spark, sf):
     """A stateful handler over a stream, state scoped by message key."""
-    path, out, cp = (scratch_path(spark, n) for n in ("logins", "milestones", "cp"))
-    logins = _logins(spark, sf)
-    _timed_files(logins, "received_at", path)
-    stream = read_messages(spark, path, schema=logins.schema, maxFilesPerTrigger=1)
+    out, cp = scratch_path(spark, "milestones"), scratch_path(spark, "cp")
+    stream = _timed_stream(_logins(_dealt(derived.events(spark, sf))), "received_at", "logins")
     _run(SP.stateful(stream, SP.key_scope("visits"), _count_visits), out, cp)
     return spark.read.parquet(out).select("message_key", "message_id", F.col("body").cast("int").alias("visits"))
 
@@ -214,10 +224,8 @@ SELECT message_key, message_id, visits FROM (
 
 def last_value_stream(spark, sf):
     """The sample flow as a stream: the latest value per user, kept as state."""
-    path, out, cp = (scratch_path(spark, n) for n in ("logins", "latest", "cp"))
-    logins = _logins(spark, sf)
-    _timed_files(logins, "received_at", path)
-    stream = read_messages(spark, path, schema=logins.schema, maxFilesPerTrigger=1)
+    out, cp = scratch_path(spark, "latest"), scratch_path(spark, "cp")
+    stream = _timed_stream(_logins(_dealt(derived.events(spark, sf))), "received_at", "logins")
     latest = SP.last_value(stream.withColumn("value", F.from_json("body", "value double").value),
                            "message_key", "value", ["received_at", "seq"])
     changes = _run_updates(latest, out, cp)

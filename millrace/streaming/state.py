@@ -10,7 +10,10 @@ the same micro-batch or a later one, meets what it would have met in order:
 - a set holds the elements whose last operation put them in and is no older than the head.
 
 An operation reads and writes its attribute's head and its own element, whatever the
-size of a set. What one micro-batch changes is written once per key, at its end.
+size of a set. What one micro-batch changes is written once per key, at its end: up to
+``HELD`` entries of a key stay together in one value of the store, as every call to the
+store costs a round trip. When a key has more, they move to the store's maps, entry by
+entry, and the value goes on with what is changed later; it is newer than the maps.
 """
 
 from __future__ import annotations
@@ -25,27 +28,35 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.state import keyed
 
 # times are epoch microseconds inside the store
-WRITTEN = "at_us long, clock long"
+WRITTEN = "at_us long, clock long, spilled boolean, held string"
 HEADS = ("attr string", "kind string, seq long, value string, total string, last long")
 ADDS = ("attr string, seq long", "amount string")
 MEMBERS = ("attr string, member string", "seq long, present boolean")
 CHANGED = ("state_key string, changes array<struct<attr:string,kind:string,member:string,value:string>>, "
            "at_us long, expired boolean")
 
+HELD = 128   # entries of a key that are kept in one value
+HELD_HEAD = ("attr", "kind", "seq", "value", "total", "last")
+HELD_MEMBER = ("attr", "member", "seq", "present")
+HELD_JSON = ("heads array<struct<attr:string,kind:string,seq:long,value:string,total:string,last:long>>, "
+             "members array<struct<attr:string,member:string,seq:long,present:boolean>>")
+
 NEVER = -(1 << 63)   # the number of no operation
 NO_HEAD = (None, NEVER, None, "0", NEVER)
 
 
 class _Map:
     """A map of the state store, or of memory: reads are remembered, writes are kept
-    until :meth:`flush`."""
+    until :meth:`flush`. ``held`` are entries newer than the store's (null: removed);
+    the store is not asked when nothing was ``spilled`` to it."""
 
-    def __init__(self, state=None):
-        self.state, self.seen, self.changed = state, {}, set()
+    def __init__(self, state=None, held: dict | None = None, spilled: bool = True):
+        self.state, self.seen, self.changed = state, dict(held or ()), set()
+        self.held, self.spilled = set(self.seen), spilled and state is not None
 
     def get(self, key: tuple):
         if key not in self.seen:
-            self.seen[key] = self.state.getValue(key) if self.state is not None else None
+            self.seen[key] = self.state.getValue(key) if self.spilled else None
         return self.seen[key]
 
     def put(self, key: tuple, value: tuple | None) -> None:
@@ -54,21 +65,25 @@ class _Map:
 
     def of(self, attr: str) -> list[tuple]:
         """Entries of one attribute; reads the key's whole map."""
-        if self.state is not None:
+        if self.spilled:
             for key, value in self.state.iterator():
                 self.seen.setdefault(tuple(key), tuple(value))
         return [(k, v) for k, v in self.seen.items() if k[0] == attr and v is not None]
 
     def clear(self) -> None:
-        if self.state is not None:
+        if self.spilled:
             self.state.clear()
         self.seen = dict.fromkeys(self.seen)
-        self.changed = set()
+        self.changed, self.held, self.spilled = set(), set(), False
+
+    def pending(self) -> dict:
+        """What the store's map does not have yet; removals only where it may have the entry."""
+        return {k: self.seen[k] for k in self.held | self.changed if self.spilled or self.seen[k] is not None}
 
     def flush(self) -> None:
-        for key in self.changed:
-            if self.seen[key] is not None:
-                self.state.updateValue(key, self.seen[key])
+        for key, value in self.pending().items():
+            if value is not None:
+                self.state.updateValue(key, value)
             elif self.state.containsKey(key):
                 self.state.removeKey(key)
 
@@ -229,6 +244,30 @@ class StateEntry:
         for kept in (self._heads, self._adds, self._members):
             kept.flush()
 
+    def held(self) -> str | None:
+        """All that is pending as one text, for :meth:`of_held`; null when it is too much."""
+        heads, adds, members = (kept.pending() for kept in (self._heads, self._adds, self._members))
+        if len(heads) + len(adds) + len(members) > HELD:
+            return None
+        return json.dumps({
+            "heads": [dict(zip(HELD_HEAD, k + v)) for k, v in heads.items()],
+            "adds": [[*k, v and v[0]] for k, v in adds.items()],
+            "members": [dict(zip(HELD_MEMBER, k + v)) for k, v in members.items()]})
+
+    @classmethod
+    def of_held(cls, maps, clock: int, spilled: bool, text: str | None) -> "StateEntry":
+        """An entry over the maps of a state store and the text of its pending changes."""
+        held = json.loads(text) if text else {"heads": (), "adds": (), "members": ()}
+        parts = (
+            {(d["attr"],): tuple(d[n] for n in HELD_HEAD[1:]) for d in held["heads"]},
+            {(attr, seq): None if amount is None else (amount,) for attr, seq, amount in held["adds"]},
+            {(d["attr"], d["member"]): (d["seq"], d["present"]) for d in held["members"]})
+        return cls(*(_Map(m, part, spilled) for m, part in zip(maps, parts)), clock=clock)
+
+    @property
+    def spilled(self) -> bool:
+        return any(kept.spilled for kept in (self._heads, self._adds, self._members))
+
     # --- as text
 
     def dump(self) -> str:
@@ -269,28 +308,32 @@ class KeyedProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         old = self.written.get()
-        at, clock = (old[0], old[1]) if old else (None, 0)
-        before = at
-        state = StateEntry(*(_Map(m) for m in self.maps), clock=clock)
+        at, clock, spilled, held = old or (None, 0, False, None)
+        before, ended = at, False
+        state = StateEntry.of_held(self.maps, clock, spilled, held)
         # a key's rows of one micro-batch, which the trigger bounds
         for row in sorted(rows, key=lambda r: r.seq):
             if self.ttl_us and at is not None and row.at_us > at + self.ttl_us:
                 state.clear()
+                ended = True
             at = row.at_us if at is None else max(at, row.at_us)
             if self.handle is None:
                 state.apply(row.op, row.attr, row.value, row.seq)
             else:
                 yield from self.handle(state, row) or ()
         if state.touched:
-            changes = state._changes()
-            state.flush()
-            self.written.update((at, state.clock))
+            changes, text = state._changes(), state.held()
+            if text is None:
+                state.flush()
+            self.written.update((at, state.clock, text is None or state.spilled, text))
             if self.ttl_us and at != before:
                 if before is not None:
                     self.store.deleteTimer(self._timer(before))
                 self.store.registerTimer(self._timer(at))
             if self.handle is None:
                 yield Row(state_key=key[0], changes=changes, at_us=at, expired=False)
+        elif ended:
+            self.written.update((before, clock, False, None))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         old = self.written.get()
@@ -330,8 +373,18 @@ def read_state(spark: SparkSession, checkpoint: str, operator_id: int = 0) -> Da
             return raw.select(key, "value.*")
         return raw.select(key, "user_map_key.*", "user_map_value.*")
 
-    heads = part("heads")
-    inside = part("members").where("present").select("state_key", "attr", "member", F.col("seq").alias("number"))
+    def newest(name: str, keys: list[str]) -> DataFrame:
+        """Entries of the value where it has them, else of the map."""
+        kept = part(name)
+        held = (written.select("state_key", F.inline(F.from_json("held", HELD_JSON)[name]))
+                .select(kept.columns).withColumn("newer", F.lit(1)))
+        rest = [c for c in kept.columns if c not in keys]
+        return (kept.withColumn("newer", F.lit(0)).unionByName(held)
+                .groupBy(*keys).agg(F.max_by(F.struct(*rest), "newer").alias("entry")).select(*keys, "entry.*"))
+
+    written = part("written")
+    heads = newest("heads", ["state_key", "attr"])
+    inside = newest("members", ["state_key", "attr", "member"]).where("present").select("state_key", "attr", "member", F.col("seq").alias("number"))
     sets = (heads.where("kind = 'set'").select("state_key", "attr", "seq")
             .join(inside, ["state_key", "attr"]).where("number >= seq")
             .groupBy("state_key", "attr").agg(F.to_json(F.sort_array(F.collect_list("member"))).alias("text")))
@@ -343,5 +396,5 @@ def read_state(spark: SparkSession, checkpoint: str, operator_id: int = 0) -> Da
     attrs = live.groupBy("state_key").agg(F.map_from_entries(F.collect_list(
         F.struct("attr", F.array("kind", "text")))).alias("attrs"))
     none = F.create_map().cast("map<string,array<string>>")
-    return part("written").join(attrs, "state_key", "left").select(
+    return written.join(attrs, "state_key", "left").select(
         "state_key", F.coalesce("attrs", none).alias("attrs"), F.timestamp_micros("at_us").alias("at"))

@@ -7,7 +7,7 @@ from collections import Counter
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from millrace.functions import payload
 from millrace.operators import state as S
@@ -18,7 +18,8 @@ from millrace.sources.lake import all_files, read_lake
 from millrace.sources.messages import read_messages
 from millrace.streaming.dedup import read_accepted, start_dedup
 from millrace.streaming.ingest import DESTINATIONS, IngestSink, start_ingest
-from millrace.streaming.state import StateEntry, read_state, state_stream
+from millrace.streaming.dedup import AcceptTimes
+from millrace.streaming.state import HELD, KeyedProcessor, StateEntry, read_state, state_stream
 
 from .test_state import log, random_log
 
@@ -60,6 +61,77 @@ def test_dedup_out_of_order(spark, scratch):
         assert any(abs(at.timestamp() - t) < 300 for t in taken[key, mid])
 
 
+class Store:
+    """A state store in memory that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.maps, self.values = 0, [], {}, {}
+
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, Reads())
+
+    def getValueState(self, name, _):
+        return self.values.setdefault(name, Value())
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def asked(self):
+        return self.calls + sum(s.asked for s in (*self.maps.values(), *self.values.values()))
+
+
+class Value:
+    def __init__(self):
+        self.value, self.asked = None, 0
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.asked += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def copies(ids, t, now):
+    return [Row(id=i, org="o", stream="s", t=t, received_at=t, seq=n, now_ms=now) for n, i in enumerate(ids)]
+
+
+def test_dedup_asks_the_store_twice_for_an_id():
+    store, marks = Store(), AcceptTimes(300, 1000)
+    marks.init(store)
+    ids = [f"m{i}" for i in range(200)]
+    assert len(list(marks.handleInputRows((1,), copies(ids, 0, 50), Clock(0)))) == 200
+    assert store.asked() <= 2 * len(ids) + 3 and store.timers == [1050]
+
+
+def test_dedup_forgets_by_the_clock():
+    """Ids are forgotten when their time is over, and removed by the timer of their group."""
+    store, marks = Store(), AcceptTimes(300, 1000)
+    marks.init(store)
+    take = lambda ids, t, now, clock: [r.seq for r in marks.handleInputRows((1,), copies(ids, t, now), Clock(clock))]
+    assert take(["a", "b"], 0, 0, 0) == [0, 1] and take(["a"], 500, 500, 0) == [0]
+    assert take(["a", "b"], 100, 900, 500) == []
+    list(marks.handleExpiredTimer((1,), Clock(1000), Clock(1000)))
+    assert set(store.maps["times"].data) == {("a",)} and store.timers == [1000, 1500]
+    assert take(["a", "b"], 100, 1100, 1000) == [1]
+    assert take(["a"], 100, 1600, 1500) == [0]
+
+
 # --- ingest
 
 def messages(spark, src):
@@ -326,6 +398,43 @@ def test_cost_of_an_operation_is_independent_of_the_set():
     assert costs[0] == costs[1]
 
 
+def test_a_small_entry_is_one_value():
+    """Up to ``HELD`` entries of a key cost a read and a write; more move to the maps, and
+    what comes later is newer than those."""
+    store, run = Store(), KeyedProcessor()
+    run.init(store)
+    clock = Clock(0)
+
+    def batch(*ops):
+        before = store.asked()
+        rows = [Row(seq=n, at_us=n, attr=a, op=o, value=v) for n, a, o, v in ops]
+        list(run.handleInputRows(("k",), iter(rows), clock))
+        return store.asked() - before
+
+    assert batch(*[(n, "n", "add_number", "1") for n in range(50)], (50, "s", "add_to_set", "x")) == 2
+    assert batch((51, "n", "add_number", "1"), (52, "s", "remove_from_set", "x"), (20, "n", "add_number", "1")) == 2
+    batch(*[(n, "n", "add_number", "1") for n in range(100, 100 + HELD)])
+    assert len(store.maps["adds"].data) == 51 + HELD
+    batch((500, "n", "set_number", "7"), (501, "n", "add_number", "2"), (60, "n", "add_number", "9"))
+    entry = StateEntry.of_held(run.maps, *store.values["written"].value[1:])
+    assert entry.get_number("n") == 9 and entry.get_set("s") == set()
+    entry.flush()
+    assert set(store.maps["adds"].data) == {("n", 501)}
+
+
+def test_a_part_of_many_files_is_one_micro_batch(spark, tmp_path):
+    """More rows make more files, not more micro-batches; results stay those of the SQL."""
+    from millrace.plans.q_stream import PARTS, _timed_stream
+    days = spark.range(40, numPartitions=4).select(
+        "id", F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 20 * 86400).alias("at"))
+    seen = []
+    (_timed_stream(days.where("id < 10 or id > 12"), "at", "days").writeStream
+     .foreachBatch(lambda df, b: seen.append((df.agg(F.min("at"), F.max("at"), F.count("*")).first())))
+     .option("checkpointLocation", str(tmp_path)).trigger(**NOW).start().awaitTermination())
+    spans = [(r[0].day, r[1].day) for r in seen if r[2]]
+    assert spans == [(1, 6), (7, 12), (13, 18), (19, 20)] and sum(r[2] for r in seen) == 37 and len(seen) <= PARTS
+
+
 def test_expiry_in_event_time(spark, scratch):
     """After a replay the live entries are those the batch fold keeps at the watermark."""
     rng = random.Random(4)
