@@ -1,7 +1,8 @@
 """The interval dedup rule over a stream.
 
-The accepted times of an id are keyed state, so a micro-batch reads and writes the ids
-it holds and no others. Only ids and times pass through the state operator: it marks
+The accepted times of an id are an entry of a state map, so a micro-batch reads and writes
+the ids it holds and no others. Ids are dealt to ``BUCKETS`` groups by hash, as calls to
+the state store are round trips: what a group needs, its timer too, is not paid per id. Only ids and times pass through the state operator: it marks
 which rows are accepted, and the rows themselves meet their marks inside the micro-batch.
 
 A copy less than one interval from a copy accepted earlier, before or after it in time,
@@ -25,22 +26,50 @@ from ..operators.dedup import GROUP, interval_ms, with_cell
 # what names a copy: one message may arrive several times under its number
 MARK = ["org", "stream", "seq", "received_at"]
 
+# groups that ids are dealt to; fixed for the life of a checkpoint
+BUCKETS = 1024
+# forgotten ids are removed from a group this often while ids are kept
+SWEEPS = 8
+
 
 class AcceptTimes(StatefulProcessor):
-    """Marks the accepted copies of an id. Its accepted times are kept while less than
-    ``keep_ms`` older than the latest, and forgotten altogether when none was accepted
-    for that long, by the clock of the micro-batches: a replay forgets later, and no copy
-    is ever too late to be looked at."""
+    """Marks the accepted copies of the ids of a group. An id's accepted times are kept
+    while less than ``keep_ms`` older than the latest, and forgotten altogether when none
+    was accepted for that long, by the clock of the micro-batches: a replay forgets later,
+    and no copy is ever too late to be looked at. A group's timer removes what is
+    forgotten, ``SWEEPS`` times in ``keep_ms`` at most."""
 
     def __init__(self, width_ms: int, keep_ms: int):
         self.width, self.keep = width_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.store = handle
-        self.times = handle.getValueState("times", "at array<long>, until_ms long")
+        self.times = handle.getMapState("times", "id string", "at array<long>, until_ms long")
+        self.sweep = handle.getValueState("sweep", "at_ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.times.get()
+        # a group's rows of one micro-batch, which the trigger bounds
+        by_id: dict[str, list[Row]] = {}
+        for row in rows:
+            by_id.setdefault(row.id, []).append(row)
+        clock, latest = timerValues.getCurrentWatermarkInMs(), None
+        for id_, copies in by_id.items():
+            accepted = self._accepted((id_,), copies, clock)
+            yield from accepted
+            if accepted:
+                latest = copies[0].now_ms
+        if latest is not None and self.sweep.get() is None:
+            self._next_sweep(latest + self.keep)
+
+    def _next_sweep(self, at_ms: int) -> None:
+        self.store.registerTimer(at_ms)
+        self.sweep.update((at_ms,))
+
+    def _accepted(self, id_: tuple, rows: list[Row], clock: int) -> list[Row]:
+        held = self.times.getValue(id_)
+        if held and held[1] <= clock:
+            held = None   # forgotten, though not yet removed
+        out: list[Row] = []
         known, fresh = sorted(held[0]) if held else [], []
         # an id's rows of one micro-batch, without their bodies
         now = 0
@@ -52,19 +81,24 @@ class AcceptTimes(StatefulProcessor):
             if any(abs(row.t - x) < self.width for x in known[max(i - 1, 0):i + 1]):
                 continue
             fresh.append(row.t)
-            yield Row(org=key[0], stream=key[1], seq=row.seq, received_at=row.received_at)
+            out.append(Row(org=row.org, stream=row.stream, seq=row.seq, received_at=row.received_at))
         if fresh:
             latest = max(known[-1:] + fresh)
-            self.times.update(([x for x in sorted(known + fresh) if x > latest - self.keep], now + self.keep))
-            if not held:
-                self.store.registerTimer(now + self.keep)
+            self.times.updateValue(id_, ([x for x in sorted(known + fresh) if x > latest - self.keep], now + self.keep))
+        return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self.times.get()
-        if held and held[1] > expiredTimerInfo.getExpiryTimeInMs():
-            self.store.registerTimer(held[1])   # accepted more since: an id has one timer
-        else:
-            self.times.clear()
+        clock, first, gone = timerValues.getCurrentWatermarkInMs(), None, []
+        for id_, (_, until) in self.times.iterator():
+            if until <= clock:
+                gone.append(tuple(id_))
+            else:
+                first = until if first is None else min(first, until)
+        for id_ in gone:
+            self.times.removeKey(id_)
+        self.sweep.clear()
+        if first is not None:
+            self._next_sweep(max(first, clock + self.keep // SWEEPS))
         yield from ()
 
     def close(self) -> None:
@@ -76,9 +110,12 @@ def accepted_marks(rows: DataFrame, interval: str = "5 minutes", keep: str = "24
     remembered for ``keep``, at least one interval; later copies are delivered."""
     width = interval_ms(interval)
     now = F.current_timestamp()   # one value for a micro-batch
-    light = (with_cell(rows).select(*GROUP, "t", "received_at", "seq", now.alias("now"), F.unix_millis(now).alias("now_ms"))
+    # one text that differs for different ids; parts that are null are left out of it
+    light = (with_cell(rows).withColumn("id", F.to_json(F.struct(*GROUP)))
+             .select(F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).alias("bucket"), "id", "org", "stream", "t", "received_at",
+                     "seq", now.alias("now"), F.unix_millis(now).alias("now_ms"))
              .withWatermark("now", "0 seconds"))
-    return light.groupBy(*GROUP).transformWithState(
+    return light.groupBy("bucket").transformWithState(
         AcceptTimes(width, max(interval_ms(keep), width)), "org string, stream string, seq long, received_at timestamp", "Append", "EventTime")
 
 
