@@ -26,10 +26,12 @@ _MARKED = "_mark"
 
 
 def parsed_once(msgs: DataFrame, topics: DataFrame) -> DataFrame:
-    """Every message with its verdict and, where lake or store want it, its fields."""
+    """Every message with its verdict and, where lake or store want it, its fields. The
+    body itself stays only where a stream takes it; no other destination reads it."""
     validated = I.validate(msgs, topics)
     usable = F.col("reject").isNull() & (F.col("cfg.has_batch") | F.col("cfg.store").isNotNull())
-    return I.with_fields(validated, usable)
+    streamed = F.col("reject").isNull() & (F.size("cfg.streams") > 0)
+    return I.with_fields(validated, usable).withColumn("body", F.when(streamed, F.col("body")))
 
 
 class IngestSink:

@@ -17,8 +17,8 @@ from millrace.sources.kv import clean_kv, read_item, read_kv, upsert_kv
 from millrace.sources.lake import all_files, read_lake
 from millrace.sources.messages import read_messages
 from millrace.streaming.dedup import read_accepted, start_dedup
-from millrace.streaming.ingest import DESTINATIONS, IngestSink, start_ingest
-from millrace.streaming.dedup import AcceptTimes
+from millrace.streaming.ingest import DESTINATIONS, IngestSink, parsed_once, start_ingest
+from millrace.streaming.dedup import PAGE, AcceptTimes, PagedAcceptTimes
 from millrace.streaming.state import HELD, KeyedProcessor, StateEntry, read_state, state_stream
 
 from .test_state import log, random_log
@@ -132,8 +132,42 @@ def test_dedup_forgets_by_the_clock():
     assert take(["a"], 100, 1600, 1500) == [0]
 
 
+def test_dedup_asks_the_store_for_pages_not_ids():
+    """Any series of micro-batches and timers gives what single ids give, for a page's calls."""
+    rng, paged, single = random.Random(8), PagedAcceptTimes(300, 4000), AcceptTimes(300, 4000)
+    stores = Store(), Store()
+    paged.init(stores[0])
+    single.init(stores[1])
+    for now in range(0, 9000, 500):
+        ids = [f"m{rng.randrange(20 * PAGE if now < 5000 else 30)}" for _ in range(12 * PAGE if now < 5000 else 20)]
+        rows = [Row(id=i, org="o", stream="s", t=now + 40 * (n % 9), received_at=now + 40 * (n % 9), seq=n, now_ms=now)
+                for n, i in enumerate(ids)]
+        before = stores[0].asked()
+        got, want = (list(p.handleInputRows((1,), rows, Clock(now))) for p in (paged, single))
+        assert got == want
+        if now:
+            assert stores[0].asked() - before <= 2 * 32 + 4   # pages, read and written
+        if stores[1].timers[-1] <= now:
+            for p in (paged, single):
+                list(p.handleExpiredTimer((1,), Clock(now), Clock(now)))
+        assert stores[0].timers == stores[1].timers
+        kept = [json.loads(text) for text, in stores[0].maps["pages"].data.values()]
+        assert {(i,): tuple(v) for page in kept for i, v in page.items()} == stores[1].maps["times"].data
+        assert len(kept) <= max(1, 8 * sum(map(len, kept)) / PAGE) and max(map(len, kept)) < 2 * PAGE
+    assert len(kept) == 1   # pages are given back
+
+
 # --- ingest
 
+def test_a_body_is_kept_for_streams_only(spark):
+    """What a micro-batch holds on to has no bodies that no stream takes."""
+    rows = [dict(seq=n, org="o", topic=t, message_key=k, message_id="m", content_type="application/json", body=b"{}", received_at=T0)
+            for n, (t, k) in enumerate([("both", "k"), ("both", ""), ("items", "k"), ("raw", "k")])]
+    kept = parsed_once(small_df(spark, rows, MESSAGES), topics(spark)).select("seq", "body", "fields").collect()
+    assert {r.seq: r.body for r in kept} == {0: b"{}", 1: None, 2: None, 3: b"{}"}
+    assert [r.seq for r in kept if r.fields is not None] == [0, 2]
+
+
 def messages(spark, src):
     """Three micro-batches with copies of one id, bodies of all kinds and a refused one."""
     rows = []
