@@ -3,8 +3,9 @@
 The vocabulary's pre-tokenizer ends a token at every white space, and its other
 steps look at no more than one run of letters, one digit or one run of other signs.
 So a text's ids are those of its parts between spaces and line ends, one after
-another, and a part's are those of its runs. Runs are encoded by the library and
-remembered; a part with characters for which that does not hold surely (anything
+another, and a part's are those of its runs. Runs are encoded by the library; a run is
+a part as well, so one memory holds both, and a word met as a part costs nothing more as
+a run of another, such as with a comma. A part with characters for which that does not hold surely (anything
 beyond Latin letters, or a special token's mark) is encoded by the library whole.
 ``tests/llm`` compares the result with the library's on whole texts.
 """
@@ -15,7 +16,7 @@ from array import array
 
 from .common import worker_cache
 
-REMEMBERED = 350_000   # entries of a generation of either memory, about 0.25 KB each
+REMEMBERED = 700_000   # entries of a generation, about 0.25 KB each
 LONGEST = 64           # longer parts are not remembered
 
 # Fixed value: the split pattern of the vocabulary file.
@@ -65,7 +66,7 @@ class WordIds:
         self.alphabet = byte_alphabet()
         self.split, self.split_ascii = regex.compile(RUNS).findall, re.compile(ASCII_RUNS).findall
         self.plain = regex.compile(r"[!-~¡-įı-ɏ]+").fullmatch
-        self.parts, self.runs = Memory(self._part), Memory(self._run)
+        self.parts = Memory(self._part)
 
     @classmethod
     def of(cls, vocabulary: str) -> WordIds:
@@ -76,11 +77,23 @@ class WordIds:
         return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
 
     def _part(self, part: str) -> bytes:
-        if part.isascii() and part.isprintable() and "<|" not in part:
-            return b"".join(map(self.runs.__getitem__, self.split_ascii(part.lower())))
-        if "<|" in part or not self.plain(part):
-            return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.runs.__getitem__, self.split(part.lower())))
+        if part.isascii():
+            if part.isalpha():
+                runs = [part.lower()]
+            elif part.isprintable() and "<|" not in part:
+                runs = self.split_ascii(part.lower())
+            else:
+                return self._whole(part)
+        elif "<|" in part or not self.plain(part):
+            return self._whole(part)
+        else:
+            runs = self.split(part.lower())
+        if len(runs) == 1 and runs[0] == part:
+            return self._run(part)
+        return b"".join(map(self.parts.__getitem__, runs))
+
+    def _whole(self, part: str) -> bytes:
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def _run(self, run: str) -> bytes:
         if not run.isascii():

@@ -125,6 +125,18 @@ def check_packed(rows, docs, capacity=4096):
     return len(sequences), -(-sum(r.length for r in rows) // capacity)
 
 
+def test_a_word_is_remembered_once(monkeypatch):
+    """A run of letters that is a part and a run of other parts is one entry."""
+    missed, find = [], Memory.__missing__
+    monkeypatch.setattr(Memory, "__missing__", lambda self, text: missed.append(text) or find(self, text))
+    encode, whole = WordIds(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    for text, new in [("harbour über", ["harbour", "über"]), ("harbour, über;", ["harbour,", ",", "über;", ";"]),
+                      ("Harbour's harbour", ["Harbour's", "'s"]), ("''s 's ÜBER", ["''s", "''", "s", "ÜBER"])]:
+        missed.clear()
+        assert encode(text) == array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
+        assert missed == new
+
+
 def test_words_are_remembered():
     """The words of a task's documents, of which most are rare, are made once."""
     made = []
